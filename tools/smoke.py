@@ -1,0 +1,16 @@
+"""Run registered queries on a folder and print counts, times and errors."""
+import sys, time
+from pyspark.sql import SparkSession
+sys.path.insert(0, "/root/repo")
+from tallyweave.catalog.queries import QUERIES
+folder = sys.argv[1]; names = sys.argv[2:] or list(QUERIES)
+spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+  .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.log.level","ERROR").getOrCreate())
+spark.sparkContext.setLogLevel("ERROR")
+for n in names:
+    t = time.time()
+    try:
+        df = QUERIES[n](spark, folder); rows = df.toPandas()
+        print(f"{n:26s} {len(rows):8d} {time.time()-t:6.2f}s", rows.head(1).to_dict("records"), flush=True)
+    except Exception as e:
+        print(f"{n:26s} FAIL", str(e).split("JVM stacktrace")[0][:600].replace("\n", " | "), flush=True)
