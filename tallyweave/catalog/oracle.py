@@ -462,10 +462,12 @@ ITEMS = """unified AS (
     CASE k % 3 WHEN 0 THEN 'Item A' WHEN 1 THEN 'Item B' ELSE 'Professional services' END
       AS description, quantity AS qty,
     CASE WHEN k % 3 < 2 THEN CAST((c - c % quantity) / quantity AS BIGINT) / 100.0
-      ELSE round(amount / greatest(quantity * fx_rate, 1), 2) END AS price
+      ELSE @PRICE@ END AS price
   FROM (SELECT *, CAST(round(amount * 100) AS BIGINT) AS c FROM ledger)
   UNION ALL
-  SELECT k, amount, fx_rate, 1, 'Fee', 1, 2.5 FROM ledger WHERE k % 3 = 1)"""
+  SELECT k, amount, fx_rate, 1, 'Fee', 1, 2.5 FROM ledger WHERE k % 3 = 1)""".replace(
+    "@PRICE@", _r_printed("amount / greatest(quantity * fx_rate, 1)", 2)
+)
 
 ORACLE: dict[str, str] = {}
 
@@ -1118,7 +1120,9 @@ ORACLE["best_spans"] = (
       ORDER BY score DESC, start_word) AS n FROM true_spans) WHERE n = 1),
 wide AS (
   SELECT d.doc_id, v.text AS vendor, t.text AS total_text, a.text AS date_text,
-    (SELECT avg(score) FROM tops x WHERE x.doc_id = d.doc_id) AS mean
+    (coalesce(v.score, 0) + coalesce(a.score, 0) + coalesce(t.score, 0)) / nullif(
+      (v.score IS NOT NULL)::INT + (a.score IS NOT NULL)::INT + (t.score IS NOT NULL)::INT, 0)
+      AS mean
   FROM documents d
   LEFT JOIN tops v ON v.doc_id = d.doc_id AND v.entity_type = 'VENDOR'
   LEFT JOIN tops a ON a.doc_id = d.doc_id AND a.entity_type = 'DATE'
@@ -1129,7 +1133,7 @@ wide AS (
   CASE
 {_MARKERS.format(t="upper(coalesce(total_text, ''))")}
     ELSE 'MYR' END AS currency,
-  coalesce({_r("mean")}, 0) AS overall_confidence
+  coalesce({_r_printed("mean", 4)}, 0) AS overall_confidence
 FROM wide"""
 )
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.arrays import let
+
 # What counts as a money-like number.
 MONEY_PATTERN = (
     r"(?i)(?<!\d)(?:€|\$|£|RM|MYR)?\s*"
@@ -19,7 +21,7 @@ _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def to_double(c: Column) -> Column:
     """Number or NULL; refuses the suffixes and words Java would read as a double."""
-    return F.when(c.rlike(_PLAIN_NUMBER), c.try_cast("double"))
+    return let(c, lambda v: F.when(v.rlike(_PLAIN_NUMBER), v.try_cast("double")))
 
 
 def dotted(c: Column) -> Column:
@@ -28,15 +30,21 @@ def dotted(c: Column) -> Column:
     With both marks present the later one is the decimal mark and the other
     one groups thousands; a comma alone is a decimal mark.
     """
-    comma_from_end = F.instr(F.reverse(c), ",")
-    dot_from_end = F.instr(F.reverse(c), ".")
-    both = (comma_from_end > 0) & (dot_from_end > 0)
-    comma_last = both & (comma_from_end < dot_from_end)
-    return (
-        F.when(comma_last, F.translate(F.translate(c, ".", ""), ",", "."))
-        .when(both, F.translate(c, ",", ""))
-        .otherwise(F.translate(c, ",", "."))
-    )
+
+    def by_marks(v: Column) -> Column:
+        comma_from_end = F.instr(F.reverse(v), ",")
+        dot_from_end = F.instr(F.reverse(v), ".")
+        both = (comma_from_end > 0) & (dot_from_end > 0)
+        return (
+            F.when(
+                both & (comma_from_end < dot_from_end),
+                F.translate(F.translate(v, ".", ""), ",", "."),
+            )
+            .when(both, F.translate(v, ",", ""))
+            .otherwise(F.translate(v, ",", "."))
+        )
+
+    return let(c, by_marks)
 
 
 def parse_amount(c: Column) -> Column:
@@ -60,8 +68,12 @@ def norm_numeric(c: Column) -> Column:
     kept = F.regexp_replace(
         F.regexp_replace(F.upper(c), NUMERIC_TEXT_CODES, ""), r"[^0-9,.\-]", ""
     )
-    value = to_double(dotted(kept))
-    return F.when(value.isNull(), F.lit("")).otherwise(two_decimals(value))
+    return F.coalesce(two_decimals_or_null(to_double(dotted(kept))), F.lit(""))
+
+
+def two_decimals_or_null(c: Column) -> Column:
+    """``two_decimals``, but NULL for NULL (``format_string`` writes the word)."""
+    return let(c, lambda v: F.when(v.isNotNull(), two_decimals(v)))
 
 
 def two_decimals(c: Column) -> Column:

@@ -5,6 +5,8 @@ Everything works on one row's arrays, so extraction needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,36 +101,54 @@ def extract_invoice_id(text: Column) -> Column:
 
 def extract_vendor(lines: Column) -> Column:
     """Header line, else the first plausible one of ten lines; NULL if none."""
-    first = strip(first_of(lines))
-    is_header = (F.length(first) >= 3) & ~F.contains(F.upper(first), F.lit("INVOICE"))
     plausible = F.filter(
         F.transform(F.slice(lines, 1, 10), strip),
         lambda line: (F.length(line) >= 3)
         & ~contains_any(F.upper(line), NOT_A_VENDOR)
         & (letter_count(line) >= 3),
     )
-    name = F.when(is_header, first).otherwise(first_of(plausible))
+
+    def header(first: Column) -> Column:
+        is_name = (F.length(first) >= 3) & ~F.contains(F.upper(first), F.lit("INVOICE"))
+        return F.when(is_name, first)
+
+    name = F.coalesce(let(strip(first_of(lines)), header), first_of(plausible))
     return F.substring(name, 1, 120)
 
 
-def _line_total(line: Column, similarity: Column) -> Column:
-    upper = norm_line(line)
-    score = (
-        similarity
-        + F.when(F.contains(upper, F.lit("TOTAL DUE")), F.lit(100.0)).otherwise(F.lit(0.0))
-        - F.when(F.contains(upper, F.lit("SUBTOTAL")), F.lit(40.0)).otherwise(F.lit(0.0))
-        - F.when(F.contains(upper, F.lit("TAX")), F.lit(40.0)).otherwise(F.lit(0.0))
-        + F.when(line.rlike(MONEY_PATTERN), F.lit(20.0)).otherwise(F.lit(0.0))
-    )
-    amount = parse_amount(F.try_element_at(money_values(line), F.lit(-1)))
-    return F.struct(score.alias("score"), line.alias("line"), amount.alias("amount"))
+def _line_facts(line: Column) -> Column:
+    """What a line says as a total: its amount, and its score apart from likeness."""
 
+    def judged(upper: Column) -> Column:
+        def points(term: str, value: float) -> Column:
+            return F.when(F.contains(upper, F.lit(term)), F.lit(value)).otherwise(F.lit(0.0))
+
+        extra = (
+            F.lit(20.0)
+            + points("TOTAL DUE", 100.0)
+            + points("SUBTOTAL", -40.0)
+            + points("TAX", -40.0)
+        )
+        return F.struct(
+            line.alias("line"),
+            parse_amount(F.try_element_at(money_values(line), F.lit(-1))).alias("amount"),
+            extra.alias("extra"),
+            contains_any(upper, TOTAL_KEYWORDS).alias("named"),
+        )
 
-def _literal_similarity(line: Column) -> Column:
-    return F.when(contains_any(norm_line(line), TOTAL_KEYWORDS), F.lit(100.0)).otherwise(F.lit(0.0))
+    return let(norm_line(line), judged)
 
 
-def _best_total(scored: Column) -> Column:
+def _best_total(facts: Column, similar: Callable[[Column, Column], Column]) -> Column:
+    """Amount of the best line; of equal ones the last in text order."""
+    scored = F.transform(
+        facts,
+        lambda f, i: F.struct(
+            (f["extra"] + F.when(f["named"], F.lit(100.0)).otherwise(similar(f, i))).alias("score"),
+            f["line"].alias("line"),
+            f["amount"].alias("amount"),
+        ),
+    )
     usable = F.filter(
         scored, lambda s: (s["score"] >= S.TOTAL_LINE_SCORE) & s["amount"].isNotNull()
     )
@@ -138,34 +158,36 @@ def _best_total(scored: Column) -> Column:
 def with_total(df: DataFrame, lines: str = "lines", out: str = "amount") -> DataFrame:
     """Add the document total: the amount of the line that looks most like one.
 
-    A line that names a total literally, without being a subtotal or tax line,
-    beats every line that only resembles one, so the similarity UDF sees just
-    the documents that have no such line.
+    Only lines with an amount count.  One that names a total literally, without
+    being a subtotal or tax line, beats every line that only resembles one, so
+    the similarity UDF sees just the unnamed amount lines of the documents that
+    have no such line.
     """
-    literal = df.withColumn(
-        "_literal",
-        F.transform(F.col(lines), lambda line: _line_total(line, _literal_similarity(line))),
-    )
+    money_lines = F.filter(F.col(lines), lambda line: line.rlike(MONEY_PATTERN))
+    facts = df.withColumn("_facts", F.transform(money_lines, _line_facts))
     decided = F.exists(
-        F.col("_literal"), lambda s: (s["score"] >= 120.0) & s["amount"].isNotNull()
+        "_facts", lambda f: f["named"] & (f["extra"] >= 20.0) & f["amount"].isNotNull()
     )
-    undecided = literal.withColumn(
+    open_lines = F.transform(
+        "_facts", lambda f: F.when(~f["named"] & f["amount"].isNotNull(), norm_line(f["line"]))
+    )
+    likened = facts.withColumn(
         "_similar",
         best_similarities(
-            F.when(~decided, F.transform(F.col(lines), norm_line)),
-            F.array(*[F.lit(k) for k in TOTAL_KEYWORDS]),
+            F.when(~decided, open_lines), F.array(*[F.lit(k) for k in TOTAL_KEYWORDS])
         ),
     )
-    resembling = F.transform(
-        F.col(lines), lambda line, i: _line_total(line, F.element_at(F.col("_similar"), i + 1))
-    )
     largest = F.array_max(
         F.transform(F.flatten(F.transform(F.col(lines), money_values)), parse_amount)
     )
-    total = F.when(decided, _best_total(F.col("_literal"))).otherwise(
-        F.coalesce(_best_total(resembling), largest)
+    total = F.coalesce(
+        _best_total(
+            F.col("_facts"),
+            lambda f, i: F.coalesce(F.get(F.col("_similar"), i), F.lit(0.0)),
+        ),
+        largest,
     )
-    return undecided.withColumn(out, total).drop("_literal", "_similar")
+    return likened.withColumn(out, total).drop("_facts", "_similar")
 
 
 def extract_quantity(lines: Column) -> Column:

@@ -38,16 +38,20 @@ def _resembles(words: pd.Series, name: pd.Series, least: pd.Series) -> pd.Series
     return pd.Series([one(w, n, b) for w, n, b in zip(words, name, least)], dtype=object)
 
 
-def _share_two_letters(word: Column, name: Column) -> Column:
-    """True if some two neighbouring characters of the shorter one occur in the other.
+def _may_resemble(word: Column, name: Column, least: float) -> Column:
+    """False if the characters alone rule out a similarity of ``least``.
 
-    A similarity of 86 leaves at least one such pair in place for strings of
-    four characters and more, so words without one cannot match.
+    A window of the longer string shares at least ``m * t / (2 - t)`` of the
+    shorter one's ``m`` characters when the similarity is ``t``, so the
+    characters of the shorter one that the longer lacks must be few.
     """
-    shorter = F.when(F.length(word) <= F.length(name), word).otherwise(name)
-    longer = F.when(F.length(word) <= F.length(name), name).otherwise(word)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(shorter) - 1, F.lit(1)))
-    return F.exists(starts, lambda i: F.contains(longer, F.substring(shorter, i, F.lit(2))))
+    word_is_shorter = F.length(word) <= F.length(name)
+    lacking = F.when(
+        word_is_shorter, F.length(F.call_function("translate", word, name, F.lit("")))
+    ).otherwise(F.length(F.call_function("translate", name, word, F.lit(""))))
+    shorter = F.least(F.length(word), F.length(name))
+    t = least / 100.0
+    return lacking <= shorter * (1.0 - t / (2.0 - t)) + 1e-9
 
 
 def with_vendor_flags(
@@ -67,7 +71,7 @@ def with_vendor_flags(
                 ~inside
                 & (named != "")
                 & (F.length(word) >= 4)
-                & _share_two_letters(word, named)
+                & _may_resemble(word, named, least)
             )
             return F.struct(inside.alias("inside"), F.when(is_open, word).alias("open"))
 
