@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
 from tallyweave.sources import views as V
-from tallyweave.sources.views import pick, table
+from tallyweave.sources.views import pick, spread_table, table
 
 
 def day(c: str | Column) -> Column:
@@ -179,7 +179,7 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     Digits make a word a total, a capital a vendor, a full stop a date.
     Predictions forget every seventh word and invent every eleventh.
     """
-    docs = table(spark, folder, "documents").select(
+    docs = spread_table(spark, folder, "documents", "doc_id", "lang", "text").select(
         "doc_id", F.col("lang").alias("split"), words_of(F.col("text")).alias("words")
     )
 
@@ -211,7 +211,7 @@ def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
     """The documents as recognised words: ten words a line, four lines a paragraph."""
     return (
-        table(spark, folder, "documents")
+        spread_table(spark, folder, "documents", "doc_id", "text")
         .select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "text"))
         .select(
             "doc_id",

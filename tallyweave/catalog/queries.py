@@ -722,7 +722,7 @@ def eval_combined(spark, folder):
 
 
 def _documents(spark, folder):
-    return V.table(spark, folder, "documents")
+    return V.spread_table(spark, folder, "documents", "doc_id", "text")
 
 
 @query

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
+from tallyweave.functions.arrays import let
 from tallyweave.functions.records import set_similarity, text_of, token_hashes
 from tallyweave.functions.text import norm_text, strip
 
@@ -179,20 +180,31 @@ def promote_identity(
     If the search returned it, it keeps its own score and rank; otherwise it
     enters with score 1 and rank 1.  The others keep order, score and rank.
     """
-    found = F.coalesce(F.col(candidates), F.array().cast(_candidate_type(df, candidates)))
-    ledger_record = F.col(identity)
-    norm_id = norm_text(ledger_record["invoice_id"])
-    same = F.filter(found, lambda c: c["norm_id"] == norm_id)
-    others = F.filter(found, lambda c: c["norm_id"] != norm_id)
-    entering = F.struct(
-        F.lit(1).alias("rank"),
-        F.lit(1.0).alias("semantic_score"),
-        ledger_record.alias("ledger_record"),
-        norm_id.alias("norm_id"),
-    )
-    front = F.coalesce(F.try_element_at(same, F.lit(-1)), entering)
-    promoted = F.when(ledger_record.isNull(), found).otherwise(F.concat(F.array(front), others))
-    return df.withColumn(candidates, promoted)
+    none = F.array().cast(_candidate_type(df, candidates))
+
+    def promoted(known: Column) -> Column:
+        entering = F.struct(
+            F.lit(1).alias("rank"),
+            F.lit(1.0).alias("semantic_score"),
+            known["record"].alias("ledger_record"),
+            known["norm_id"].alias("norm_id"),
+        )
+
+        def in_front(found: Column) -> Column:
+            same = F.filter(found, lambda c: c["norm_id"] == known["norm_id"])
+            others = F.filter(found, lambda c: c["norm_id"] != known["norm_id"])
+            front = F.coalesce(F.try_element_at(same, F.lit(-1)), entering)
+            return F.when(known["record"].isNull(), found).otherwise(
+                F.concat(F.array(front), others)
+            )
+
+        return let(F.coalesce(F.col(candidates), none), in_front)
+
+    known = F.struct(
+        F.col(identity).alias("record"),
+        norm_text(F.col(identity)["invoice_id"]).alias("norm_id"),
+    )
+    return df.withColumn(candidates, let(known, promoted))
 
 
 def _candidate_type(df: DataFrame, candidates: str):

@@ -105,10 +105,12 @@ def class_report(cases: DataFrame, labels: list[str] | None = None) -> DataFrame
 
 def confusion_matrix(cases: DataFrame, labels: list[str]) -> DataFrame:
     """One row per expected label, one ``as_<label>`` column per predicted one."""
-    counted = cases.filter(
-        F.col("expected").isin(*labels) & F.col("predicted").isin(*labels)
-    ).groupBy("expected").agg(
-        *[F.count_if(F.col("predicted") == label).alias(f"as_{label}") for label in labels]
+    pairs = cases.groupBy("expected", "predicted").agg(F.count("*").alias("n"))
+    counted = pairs.groupBy("expected").agg(
+        *[
+            F.sum(F.when(F.col("predicted") == label, F.col("n"))).alias(f"as_{label}")
+            for label in labels
+        ]
     )
     rows = cases.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(label) for label in labels])).alias("expected")

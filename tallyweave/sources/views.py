@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
+from tallyweave.session import spread
 
 # Scenario of an order, by its key modulo seven.
 SCENARIOS = [
@@ -27,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The named columns of a table, in at least one task per core."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def pick(c: Column, values: list[str]) -> Column:
     """The value at position ``c``."""
     chosen = F
@@ -37,7 +43,9 @@ def pick(c: Column, values: list[str]) -> Column:
 
 def ledger(spark: SparkSession, folder: str) -> DataFrame:
     """One ledger row per order: the customer is the vendor."""
-    orders = table(spark, folder, "orders")
+    orders = spread_table(
+        spark, folder, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"
+    )
     customers = table(spark, folder, "customer").select("c_custkey", "c_name")
     quantities = (
         table(spark, folder, "lineitem")
