@@ -11,14 +11,17 @@ from tallyweave.functions.text import strip
 from tallyweave.operators.validation import is_complete, relative_difference
 
 
+_NO_DETAILS = "named_struct({})".format(
+    ", ".join(f"'{name}', CAST(NULL AS {kind})" for name, kind in S.DETAIL_FIELDS.items())
+)
+
+
 def details(**values: Column) -> Column:
     """The wide details struct with only the given keys filled."""
-    return F.struct(
-        *[
-            values.get(name, F.lit(None)).cast(kind).alias(name)
-            for name, kind in S.DETAIL_FIELDS.items()
-        ]
-    )
+    filled = F.expr(_NO_DETAILS)
+    for name, value in values.items():
+        filled = filled.withField(name, value.cast(S.DETAIL_FIELDS[name]))
+    return filled
 
 
 def details_json(c: Column) -> Column:

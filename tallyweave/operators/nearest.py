@@ -177,7 +177,10 @@ def nearest_neighbours(
         )
 
     own = paired(q.select("qblock", F.col("cell").alias("pcell")).distinct())
-    first = cut_lineage(_join_blocks(q, p, own, wanted, id_type))
+    first = _join_blocks(q, p, own, wanted, id_type)
+    if len(p_cells) == 1:
+        return _answers(queries, first, k, wanted, query_id, vector, exclude_self)
+    first = cut_lineage(first)
     floor = _top(first, wanted).groupBy("q").agg(
         F.min("score").alias("floor"), F.sum(F.size("ids")).alias("have")
     )
@@ -217,15 +220,30 @@ def nearest_neighbours(
         .distinct()
     )
     second = _join_blocks(q, p, others, wanted, id_type)
-    merged = _top(first.unionByName(second), wanted)
+    return _answers(
+        queries, first.unionByName(second), k, wanted, query_id, vector, exclude_self
+    )
 
-    answers = (
-        queries.select(F.col(query_id).alias("query_id"), _name(vector).alias("q"))
-        .join(
-            merged.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("near")), "q"
-        )
+
+def _answers(
+    queries: DataFrame,
+    found: DataFrame,
+    k: int,
+    wanted: int,
+    query_id: str,
+    vector: str,
+    exclude_self: bool,
+) -> DataFrame:
+    """Hand the neighbours of each distinct vector to all queries that have it."""
+    near = (
+        _top(found, wanted)
+        .groupBy("q")
+        .agg(F.collect_list(F.struct("score", "ids")).alias("near"))
+    )
+    answers = queries.select(F.col(query_id).alias("query_id"), _name(vector).alias("q")).join(
+        near, "q"
     )
-    flat = F.flatten(
+    each = F.flatten(
         F.transform(
             "near",
             lambda n: F.transform(
@@ -233,11 +251,10 @@ def nearest_neighbours(
             ),
         )
     )
-    kept = flat
     if exclude_self:
-        kept = F.filter(flat, lambda n: n["id"] != F.col("query_id"))
+        each = F.filter(each, lambda n: n["id"] != F.col("query_id"))
     return answers.select(
-        "query_id", F.posexplode(F.slice(F.array_sort(kept), 1, k)).alias("_at", "n")
+        "query_id", F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("_at", "n")
     ).select(
         "query_id",
         (F.col("_at") + 1).alias("rank"),
