@@ -31,6 +31,7 @@ from tallyweave.operators import (
     repair,
     validation,
 )
+from tallyweave.operators.lookup import lookup
 from tallyweave.plans import evaluate, reconcile
 from tallyweave.session import shared_folder, tune
 from tallyweave.sources import audit, tables
@@ -204,7 +205,7 @@ def split_outcome(spark, folder):
 def identity_predicate(spark, folder):
     """How many rows of its vendor's pool share a submission's identity."""
     subs, ledger = I.pair(spark, folder)
-    rows = subs.join(candidates.vendor_pool(ledger), "vendor").select(
+    rows = lookup(subs, candidates.vendor_pool(ledger), ["vendor"], "inner").select(
         "submission_id",
         F.col("invoice_id").alias("sub_invoice_id"),
         F.col("vendor").alias("sub_vendor"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
 from tallyweave.functions.text import strip
+from tallyweave.operators.lookup import lookup
 
 
 def _blank(c: Column) -> Column:
@@ -63,7 +64,7 @@ def decide(
     else:
         first = first.withColumn("_open", F.lit(None).cast("boolean"))
     return (
-        checked.join(first, keys, "left")
+        lookup(checked, first, keys)
         .withColumn(
             "refused",
             F.when(F.col("refused").isNotNull(), F.col("refused"))

@@ -1,8 +1,8 @@
 """Ledger candidates of a submission: by id, by vendor and date, by similarity.
 
 Every join here looks a key up in a side with one row per key.  A key shared
-by many submissions is then only a large left partition, which AQE splits; no
-join multiplies rows by more than the pool cap.
+by many submissions is then only a large left partition, which is split while
+it runs; no join multiplies rows by more than the pool cap.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from tallyweave import schemas as S
 from tallyweave.functions.arrays import let
 from tallyweave.functions.records import set_similarity, text_of, token_hashes
 from tallyweave.functions.text import norm_text, strip
+from tallyweave.operators.lookup import lookup
 
 
 def _record(prefix: str = "") -> Column:
@@ -55,9 +56,7 @@ def by_exact_id(submissions: DataFrame, ledger: DataFrame, out: str = "identity"
     """Add the ledger record with the same normalised id, NULL if there is none."""
     index = first_per_key(ledger, _norm_id=norm_text(F.col("invoice_id"))).filter("_norm_id <> ''")
     keyed = submissions.withColumn("_norm_id", norm_text(F.col("invoice_id")))
-    return (
-        keyed.join(index.withColumnRenamed("record", out), "_norm_id", "left").drop("_norm_id")
-    )
+    return lookup(keyed, index.withColumnRenamed("record", out), ["_norm_id"]).drop("_norm_id")
 
 
 def by_vendor_and_date(
@@ -72,9 +71,9 @@ def by_vendor_and_date(
     keyed = submissions.withColumns(
         {"_vendor": F.lower(strip(F.col("vendor"))), "_date": F.col("invoice_date")}
     )
-    return keyed.join(
-        index.withColumnRenamed("record", out), ["_vendor", "_date"], "left"
-    ).drop("_vendor", "_date")
+    return lookup(keyed, index.withColumnRenamed("record", out), ["_vendor", "_date"]).drop(
+        "_vendor", "_date"
+    )
 
 
 def by_identity(submissions: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -115,7 +114,7 @@ def vendor_candidates(
 ) -> DataFrame:
     """One row per submission and ledger row of its vendor's pool."""
     return (
-        submissions.join(vendor_pool(ledger, cap), "vendor")
+        lookup(submissions, vendor_pool(ledger, cap), ["vendor"], "inner")
         .withColumn("entry", F.explode("pool"))
         .select(
             "submission_id",
@@ -164,9 +163,9 @@ def search(
             c["norm_id"].alias("norm_id"),
         ),
     )
+    described_submissions = submissions.withColumn("_features", features(""))
     return (
-        submissions.withColumn("_features", features(""))
-        .join(pools, "vendor", "left")
+        lookup(described_submissions, pools, ["vendor"])
         .withColumn("candidates", candidates)
         .drop("_features", "pool")
     )

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyweave.operators.lookup import lookup
 from tallyweave.session import cut_lineage
 
 #: Scores are kept to four decimals and vectors are of unit length up to
@@ -240,9 +241,8 @@ def _answers(
         .groupBy("q")
         .agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     )
-    answers = queries.select(F.col(query_id).alias("query_id"), _name(vector).alias("q")).join(
-        near, "q"
-    )
+    asked = queries.select(F.col(query_id).alias("query_id"), _name(vector).alias("q"))
+    answers = lookup(asked, near, ["q"], "inner")
     each = F.flatten(
         F.transform(
             "near",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
 from tallyweave.operators.candidates import by_exact_id, identity_only, promote_identity, search
@@ -10,6 +11,7 @@ from tallyweave.operators.classify import classify
 from tallyweave.operators.duplicates import flag_known_invoices, flag_later_copies
 from tallyweave.operators.exceptions import draft_letters, investigate
 from tallyweave.operators.repair import repair_fields
+from tallyweave.operators.validation import is_complete
 from tallyweave.session import cut_lineage
 
 
@@ -25,7 +27,10 @@ def reconcile(
     vendor's pool, then the ladder.  Submissions are shuffled twice, by id and
     by vendor; all else happens within the row.
     """
-    identified = repair_fields(by_exact_id(submissions, ledger))
+    found = by_exact_id(submissions, ledger)
+    identified = repair_fields(
+        found.withColumn("identity", F.when(is_complete(), F.col("identity")))
+    )
     searched = search(identified, ledger, top_k)
     return classify(promote_identity(searched), threshold=threshold)
 

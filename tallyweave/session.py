@@ -6,10 +6,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Runtime settings this package relies on.  Every join of the package looks
-#: keys up in a side that is unique per key, so splitting the other side's hot
-#: partitions (AQE skew join, forced even where it costs one more exchange) is
-#: enough to spread a key that holds a large share of the rows.
+#: Runtime settings this package relies on.  Its joins look keys up in a side
+#: that is unique per key (see ``operators.lookup``), so splitting the other
+#: side's hot partitions is enough to spread a key that holds a large share of
+#: the rows; it is forced even where it costs one more exchange.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
