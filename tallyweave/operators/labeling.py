@@ -39,11 +39,13 @@ def _resembles(words: pd.Series, name: pd.Series, least: pd.Series) -> pd.Series
 
 
 def _may_resemble(word: Column, name: Column, least: float) -> Column:
-    """False if the characters alone rule out a similarity of ``least``.
+    """False if the characters rule out a similarity of ``least``, both ways exactly.
 
     A window of the longer string shares at least ``m * t / (2 - t)`` of the
     shorter one's ``m`` characters when the similarity is ``t``, so the
-    characters of the shorter one that the longer lacks must be few.
+    characters of the shorter one that the longer lacks must be few.  From a
+    similarity of 80 on, two of the shared ones stand side by side in both, so
+    some pair of neighbours must occur in the longer string.
     """
     word_is_shorter = F.length(word) <= F.length(name)
     lacking = F.when(
@@ -51,7 +53,18 @@ def _may_resemble(word: Column, name: Column, least: float) -> Column:
     ).otherwise(F.length(F.call_function("translate", name, word, F.lit(""))))
     shorter = F.least(F.length(word), F.length(name))
     t = least / 100.0
-    return lacking <= shorter * (1.0 - t / (2.0 - t)) + 1e-9
+    few_lacking = lacking <= shorter * (1.0 - t / (2.0 - t)) + 1e-9
+    if least < 80:
+        return few_lacking
+
+    def has_pair(first: Column, second: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(first) - 1, F.lit(1)))
+        return F.exists(
+            starts, lambda i: F.contains(second, F.substring(first, i, F.lit(2)))
+        )
+
+    pair = F.when(word_is_shorter, has_pair(word, name)).otherwise(has_pair(name, word))
+    return pair & few_lacking
 
 
 def with_vendor_flags(
