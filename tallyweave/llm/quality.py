@@ -40,7 +40,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeat_words": "100 * n_repeat_words > 50 * n_words",
     "symbols": "100 * n_symbols > 25 * n_words",
-    "dup_lines": "100 * n_dup_lines > 30 * n_lines",
+    "dup_lines": "100 * n_dup_lines > 50 * n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
     "upper_case": "100 * n_upper > 40 * n_letters",
