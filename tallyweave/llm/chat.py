@@ -67,39 +67,42 @@ def paths(messages: DataFrame, best: int = 1, most_rounds: int = 40) -> DataFram
         lookup(steps, known.select("tree", "node"), ["tree", "node"], "left_anti").withColumn("up", F.lit(None).cast("bigint"))
     )
     steps = stored(steps.withColumn("depth", F.lit(1).cast("long")), "steps")
-    levels = [steps]
-    while steps.where("up is not null").take(1):
+    # Messages that have reached their root are done; only the others go on.
+    levels = [steps.where("up is not null")]
+    done = steps.where("up is null")
+    while levels[-1].take(1):
         if len(levels) > most_rounds:
             raise ValueError("messages reply to each other in a cycle")
-        far = steps.select(
+        far = done.unionByName(levels[-1]).select(
             "tree",
             F.col("node").alias("up"),
             F.col("up").alias("_up"),
             F.col("total").alias("_total"),
             F.col("depth").alias("_depth"),
         )
-        steps = lookup(steps, far, ["tree", "up"]).select(
+        steps = lookup(levels[-1], far, ["tree", "up"]).select(
             "tree",
             "node",
             F.col("_up").alias("up"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            (F.col("total") + F.col("_total")).alias("total"),
+            (F.col("depth") + F.col("_depth")).alias("depth"),
         )
         steps = stored(steps, "steps")
-        levels.append(steps)
-    parents = levels[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = lookup(steps, parents, ["tree", "node"], "left_anti")
+        levels.append(steps.where("up is not null"))
+        done = done.unionByName(steps.where("up is null"))
+    parents = levels[0].select("tree", F.col("up").alias("node")).distinct()
+    leaves = lookup(done, parents, ["tree", "node"], "left_anti")
     # Spark limits each task's rows to ``best`` per tree before it shuffles them.
     rank = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "node")
     chosen = leaves.withColumn("path", F.row_number().over(rank)).where(F.col("path") <= best)
     chosen = chosen.select("tree", "path", "node")
     for level in reversed(levels[:-1]):
-        up = level.where("up is not null").select("tree", "node", "up")
+        up = level.select("tree", "node", "up")
         # Paths may share a message; its step is looked up for each of them.
         chosen = lookup(chosen, up, ["tree", "node"]).select(
             "tree", "path", F.explode(F.array("node", "up")).alias("node")
         ).where("node is not null")
-    placed = lookup(chosen, steps.select("tree", "node", "depth"), ["tree", "node"])
+    placed = lookup(chosen, done.select("tree", "node", "depth"), ["tree", "node"])
     return lookup(placed, whole.select("tree", "node", "role", "text"), ["tree", "node"]).select(
         "tree", "path", (F.col("depth") - 1).alias("position"), "role", "text"
     )
