@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import stored
+from tallyweave.llm.common import scratch, stored
 from tallyweave.operators.lookup import lookup
 
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
@@ -66,30 +66,40 @@ def paths(messages: DataFrame, best: int = 1, most_rounds: int = 40) -> DataFram
     steps = known.unionByName(
         lookup(steps, known.select("tree", "node"), ["tree", "node"], "left_anti").withColumn("up", F.lit(None).cast("bigint"))
     )
-    steps = stored(steps.withColumn("depth", F.lit(1).cast("long")), "steps")
-    # Messages that have reached their root are done; only the others go on.
-    levels = [steps.where("up is not null")]
-    done = steps.where("up is null")
+    # One table holds the steps of all rounds, by round.  Messages that have
+    # reached their root are done; only the others go on to the next.
+    spark, folder = messages.sparkSession, scratch(messages.sparkSession, "steps")
+    kind = "tree string, node bigint, up bigint, total double, depth bigint, round int"
+
+    def add(steps: DataFrame, turn: int) -> DataFrame:
+        fields = kind.rsplit(",", 1)[0].split(", ")
+        typed = steps.select(*[F.col(n).cast(t).alias(n) for n, t in (f.split() for f in fields)])
+        typed.write.parquet(f"{folder}/round={turn}")
+        return spark.read.schema(kind).parquet(folder)
+
+    table = add(steps.withColumn("depth", F.lit(1)), 0)
+    levels = [table.where("round = 0 and up is not null")]
     while levels[-1].take(1):
-        if len(levels) > most_rounds:
+        turn = len(levels)
+        if turn > most_rounds:
             raise ValueError("messages reply to each other in a cycle")
-        far = done.unionByName(levels[-1]).select(
+        far = table.where((F.col("round") == turn - 1) | F.col("up").isNull()).select(
             "tree",
             F.col("node").alias("up"),
             F.col("up").alias("_up"),
             F.col("total").alias("_total"),
             F.col("depth").alias("_depth"),
         )
-        steps = lookup(levels[-1], far, ["tree", "up"]).select(
+        steps = lookup(levels[-1].drop("round"), far, ["tree", "up"]).select(
             "tree",
             "node",
             F.col("_up").alias("up"),
             (F.col("total") + F.col("_total")).alias("total"),
             (F.col("depth") + F.col("_depth")).alias("depth"),
         )
-        steps = stored(steps, "steps")
-        levels.append(steps.where("up is not null"))
-        done = done.unionByName(steps.where("up is null"))
+        table = add(steps, turn)
+        levels.append(table.where((F.col("round") == turn) & F.col("up").isNotNull()))
+    done = table.where("up is null").drop("round")
     parents = levels[0].select("tree", F.col("up").alias("node")).distinct()
     leaves = lookup(done, parents, ["tree", "node"], "left_anti")
     # Spark limits each task's rows to ``best`` per tree before it shuffles them.
