@@ -168,7 +168,7 @@ class Memory(dict):
 class Codec:
     """Encodes and decodes texts; remembers the ids of fragments and of pieces between blanks."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
         self.vocabulary = vocabulary
         self.pieces = Memory(self.piece, most)
         self.fragments = Memory(vocabulary.merge, most // 4)
@@ -176,7 +176,7 @@ class Codec:
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece without white space; normalising and finding words never look across a blank."""
         plain = piece
         if not piece.isascii():
@@ -187,7 +187,7 @@ class Codec:
         for word in self.vocabulary.words.findall(plain):
             for symbols in self.vocabulary.fragments(word):
                 ids += self.fragments[symbols]
-        return ids
+        return tuple(ids)
 
     def ordinary(self, text: str) -> list[int]:
         if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -211,7 +211,10 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks; an id without a token is left out."""
-        return " ".join(filter(None, map(self.vocabulary.tokens.get, ids)))
+        try:
+            return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join(filter(None, map(self.vocabulary.tokens.get, ids)))
 
 
 @lru_cache(maxsize=4)
@@ -220,25 +223,53 @@ def codec(path: str) -> Codec:
     return Codec(Vocabulary(path))
 
 
+IDS = pa.list_(pa.int32())
+
+
 def encode(docs: DataFrame, path: str, column: str = "ids", text: str = "text") -> DataFrame:
     """``docs`` with the ids of each whole text."""
-    kind = StructField(column, ArrayType(IntegerType()))
-    return _each(docs, kind, text, lambda v: pa.array(list(map(codec(path).encode, v)), pa.list_(pa.int32())))
+
+    def values(batch: pa.RecordBatch) -> list[pa.Array]:
+        code = codec(path)
+        return [pa.array([code.encode(t.as_py()) for t in batch.column(text)], IDS)]
+
+    return _each(docs, [StructField(column, ArrayType(IntegerType()))], values)
 
 
 def decode(encoded: DataFrame, path: str, column: str = "decoded", ids: str = "ids") -> DataFrame:
     """``encoded`` with the text of each list of ids."""
-    kind = StructField(column, StringType())
-    return _each(encoded, kind, ids, lambda v: pa.array([codec(path).decode(x or []) for x in v], pa.string()))
+
+    def values(batch: pa.RecordBatch) -> list[pa.Array]:
+        code = codec(path)
+        return [pa.array([code.decode(x.as_py() or []) for x in batch.column(ids)], pa.string())]
+
+    return _each(encoded, [StructField(column, StringType())], values)
+
+
+def encode_and_decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded", text: str = "text") -> DataFrame:
+    """``docs`` with ids and what they decode to, in one pass."""
+
+    def values(batch: pa.RecordBatch) -> list[pa.Array]:
+        code = codec(path)
+        encoded = [code.encode(t.as_py()) for t in batch.column(text)]
+        return [pa.array(encoded, IDS), pa.array(list(map(code.decode, encoded)), pa.string())]
+
+    added = [StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())]
+    return _each(docs, added, values)
 
 
-def _each(df: DataFrame, added: StructField, source: str, values) -> DataFrame:
-    if added.name in df.columns:
-        raise ValueError(f"{added.name} is a column already")
+def _each(df: DataFrame, added: list[StructField], values, rows: int = 256) -> DataFrame:
+    """Adds columns by ``values`` of some rows at a time, so that few ids are Python objects at once."""
+    names = [a.name for a in added]
+    if {*names} & {*df.columns}:
+        raise ValueError(f"{names}: a column has that name already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = values(batch.column(source).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, added.name])
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *values(part)], names=[*part.schema.names, *names]
+                )
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, added]))
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added]))
