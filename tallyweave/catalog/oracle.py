@@ -160,10 +160,9 @@ DETAILS_JSON = """CASE status
       ELSE '{"reason":"identity, currency, quantity, rate and amount agree"}' END"""
 
 POOL = """pool AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY invoice_id, invoice_date, amount,
-                                 currency, quantity, fx_rate) AS pool_pos
-    FROM ledger) WHERE pool_pos <= 60)"""
+  SELECT *, row_number() OVER (PARTITION BY vendor ORDER BY invoice_id, invoice_date, amount,
+                               currency, quantity, fx_rate) AS pool_pos
+  FROM ledger)"""
 
 EVENT_HISTORY = """history AS (
   SELECT event_id, ts, concat('evt-', event_id) AS audit_event_id,
@@ -242,7 +241,7 @@ INVOICES = (LEDGER, VARIANTS, SUBS)
 RECORD = """invoice_id, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, vendor, amount,
   currency, quantity, fx_rate"""
 
-# Token-set similarity of record texts, and the three best pool rows.
+# Token-set similarity of record texts, and the best pool rows by the raw score.
 SEARCH = (
     r"""described AS (
   SELECT *, list_distinct(string_split(trim(regexp_replace(lower(concat(
@@ -260,13 +259,13 @@ pooled AS (
   FROM pool),
 scored AS (
   SELECT d.submission_id, p.invoice_id AS l_id, p.pool_pos,
-    """
-    + _r("len(list_intersect(d.toks, p.toks)) / sqrt(len(d.toks) * len(p.toks))")
-    + """ AS score
+    len(list_intersect(d.toks, p.toks)) / sqrt(len(d.toks) * len(p.toks)) AS raw
   FROM described d JOIN pooled p ON p.vendor = d.vendor),
 retrieved AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY score DESC, pool_pos) AS rank
+  SELECT *, """
+    + _r("raw")
+    + """ AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY raw DESC, pool_pos) AS rank
     FROM scored) WHERE rank <= {top_k})"""
 )
 
@@ -392,12 +391,13 @@ NEIGHBOURS = (
   FROM embeddings),
 near AS (
   SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, a.label AS expected,
-    b.label AS predicted, """
-    + _r("list_inner_product(a.v, b.v)")
-    + """ AS score
+    b.label AS predicted, list_inner_product(a.v, b.v) AS raw
   FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id),
 ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id)
+  SELECT *, """
+    + _r("raw")
+    + """ AS score,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, neighbour_id)
          AS INTEGER) AS rank FROM near),
 first_near AS (SELECT * FROM ranked WHERE rank = 1)"""
 )
@@ -574,7 +574,7 @@ ORACLE["vendor_candidates"] = (
     _with(*INVOICES, POOL)
     + """SELECT s.submission_id, s.vendor, CAST(p.pool_pos AS INTEGER) AS pool_pos,
   p.invoice_id AS candidate_invoice_id
-FROM subs s JOIN pool p ON p.vendor = s.vendor"""
+FROM subs s JOIN pool p ON p.vendor = s.vendor AND p.pool_pos <= 60"""
 )
 ORACLE["match_vendor_date"] = (
     _with(*INVOICES)
@@ -600,14 +600,13 @@ ORACLE["knn_topk"] = (
 )
 ORACLE["knn_vendor_pool"] = (
     _with(*INVOICES, POOL)
-    + f"""SELECT submission_id, CAST(n AS INTEGER) AS pos, score AS semantic_score,
+    + f"""SELECT submission_id, CAST(n AS INTEGER) AS pos, {_r("raw")} AS semantic_score,
   l_id AS ledger_invoice_id
 FROM (
-  SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY score DESC, pool_pos) AS n
+  SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY raw DESC, pool_pos) AS n
   FROM (
     SELECT s.submission_id, p.pool_pos, p.invoice_id AS l_id,
-      {_r("list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))")}
-        AS score
+      list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS raw
     FROM subs s JOIN pool p ON p.vendor = s.vendor
     JOIN embeddings a ON a.vec_id = (s.k + 1) % (SELECT count(*) FROM embeddings)
     JOIN embeddings b ON b.vec_id = p.k % (SELECT count(*) FROM embeddings)))
@@ -852,8 +851,17 @@ _EVAL = (
     _ladder("repaired"),
     f"eval_cases AS (SELECT {STATELESS} AS expected, status AS predicted FROM laddered)",
 )
+# Search and ladder alone: ranks are positions, nothing is promoted or repaired.
+_EVAL_RETRIEVAL = (
+    *INVOICES,
+    POOL,
+    _search("subs", 5),
+    "promoted AS (SELECT submission_id, rank AS pos, rank, score, l_id FROM retrieved)",
+    _ladder("subs"),
+    f"eval_cases AS (SELECT {STATELESS} AS expected, status AS predicted FROM laddered)",
+)
 ORACLE["eval_rules"] = _with(*INVOICES, DECIDED, _RULE_CASES) + ", " + _report("rule_cases")
-ORACLE["eval_retrieval"] = _with(*_EVAL) + ", " + _report("eval_cases")
+ORACLE["eval_retrieval"] = _with(*_EVAL_RETRIEVAL) + ", " + _report("eval_cases")
 ORACLE["eval_end_to_end"] = _with(*_EVAL) + _matrix("eval_cases", STATUSES)
 ORACLE["eval_heldout"] = (
     _with(
@@ -874,7 +882,7 @@ held_cases AS (
     + _report("held_cases", HELDOUT)
 )
 ORACLE["eval_combined"] = (
-    _with(*_EVAL)
+    _with(*_EVAL_RETRIEVAL)
     + f"""SELECT * FROM (SELECT count(*) AS extraction_cases,
   CAST(1 AS DOUBLE) AS all_fields_exact_accuracy FROM subs),
 ({_ACCURACY} FROM eval_cases)"""

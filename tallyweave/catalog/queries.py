@@ -77,7 +77,7 @@ def ledger_scan(spark, folder):
 
 @query
 def ledger_scan_vendor(spark, folder):
-    rows = tables.scan_ledger(V.ledger(spark, folder), "Customer#000000007", S.POOL_CAP)
+    rows = tables.scan_ledger(V.ledger(spark, folder), "Customer#000000007", S.POOL_REPORT)
     return _flat_record(rows)
 
 
@@ -203,21 +203,22 @@ def split_outcome(spark, folder):
 
 @query
 def identity_predicate(spark, folder):
-    """How many rows of its vendor's pool share a submission's identity."""
+    """How many of all its vendor's ledger rows share a submission's identity."""
     subs, ledger = I.pair(spark, folder)
-    rows = lookup(subs, candidates.vendor_pool(ledger), ["vendor"], "inner").select(
+    rows = candidates.on_pages(subs, ledger).select(
         "submission_id",
         F.col("invoice_id").alias("sub_invoice_id"),
         F.col("vendor").alias("sub_vendor"),
         F.col("invoice_date").alias("sub_invoice_date"),
-        F.explode("pool.record").alias("r"),
+        F.explode("pool").alias("e"),
     )
+    rows = rows.select("*", F.col("e.record").alias("r"), F.col("e.copies").alias("copies"))
     rows = rows.withColumns(
         {f"led_{n}": F.col(f"r.{n}") for n in ("invoice_id", "vendor", "invoice_date")}
     )
     return rows.groupBy("submission_id").agg(
-        F.count("*").alias("candidates"),
-        F.count_if(validation.same_identity("sub_", "led_")).alias("same_identity"),
+        F.sum("copies").alias("candidates"),
+        F.sum(F.when(validation.same_identity("sub_", "led_"), F.col("copies")).otherwise(0)).alias("same_identity"),
     )
 
 

@@ -2,7 +2,7 @@
 
 Every join here looks a key up in a side with one row per key.  A key shared
 by many submissions is then only a large left partition, which is split while
-it runs; no join multiplies rows by more than the pool cap.
+it runs.
 """
 
 from __future__ import annotations
@@ -87,88 +87,140 @@ def by_identity(submissions: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def vendor_pool(ledger: DataFrame, cap: int = S.POOL_CAP, extra: list[str] | None = None) -> DataFrame:
-    """The first ``cap`` ledger rows of each vendor as one array.
+def first_of_vendor(ledger: DataFrame, first: int) -> DataFrame:
+    """The first ``first`` ledger rows of each vendor as one array, with their positions.
 
-    Ranking keeps ``cap`` rows per vendor on the map side already, so a vendor
+    Ranking keeps ``first`` rows per vendor on the map side already, so a vendor
     that owns much of the ledger still ships few rows.
     """
-    first = Window.partitionBy("vendor").orderBy(*POOL_ORDER)
-    extra = extra or []
+    order = Window.partitionBy("vendor").orderBy(*POOL_ORDER)
     ranked = (
-        ledger.select(*S.RECORD_FIELDS, *extra)
-        .withColumn("pool_pos", F.row_number().over(first))
-        .filter(F.col("pool_pos") <= cap)
-    )
-    entry = F.struct(
-        F.col("pool_pos"),
-        _record().alias("record"),
-        norm_text(F.col("invoice_id")).alias("norm_id"),
-        *extra,
+        ledger.select(*S.RECORD_FIELDS)
+        .withColumn("pool_pos", F.row_number().over(order))
+        .filter(F.col("pool_pos") <= first)
     )
+    entry = F.struct("pool_pos", "invoice_id")
     return ranked.groupBy("vendor").agg(F.array_sort(F.collect_list(entry)).alias("pool"))
 
 
 def vendor_candidates(
-    submissions: DataFrame, ledger: DataFrame, cap: int = S.POOL_CAP
+    submissions: DataFrame, ledger: DataFrame, first: int = S.POOL_REPORT
 ) -> DataFrame:
-    """One row per submission and ledger row of its vendor's pool."""
+    """A report: one row per submission and each of the first ledger rows of its vendor.
+
+    Nothing searches this list; :func:`search` looks at all of the vendor's rows.
+    """
     return (
-        lookup(submissions, vendor_pool(ledger, cap), ["vendor"], "inner")
+        lookup(submissions, first_of_vendor(ledger, first), ["vendor"], "inner")
         .withColumn("entry", F.explode("pool"))
         .select(
             "submission_id",
             "vendor",
             F.col("entry.pool_pos").alias("pool_pos"),
-            F.col("entry.record.invoice_id").alias("candidate_invoice_id"),
+            F.col("entry.invoice_id").alias("candidate_invoice_id"),
         )
     )
 
 
+def pool_pages(ledger: DataFrame, extra: list[str] | None = None, page_rows: int = 256) -> tuple[DataFrame, DataFrame]:
+    """All ledger rows of every vendor, in pages of about ``page_rows``, and the pages of each vendor.
+
+    Returns (vendor, page, pool) and (vendor, pages).  Equal rows are folded
+    into one entry with their number, so a page stays small whatever repeats,
+    and a vendor that owns much of the ledger has many pages, not a large one.
+    """
+    extra = extra or []
+    pages = ledger.groupBy("vendor").agg(F.ceil(F.count("*") / page_rows).alias("pages"))
+    folded = ledger.groupBy(*S.RECORD_FIELDS, *extra).agg(F.count("*").alias("copies"))
+    placed = lookup(folded, pages, ["vendor"], "inner").withColumn(
+        "page", F.pmod(F.xxhash64(*S.RECORD_FIELDS, *extra), F.col("pages"))
+    )
+    entry = F.struct(
+        *POOL_ORDER,
+        _record().alias("record"),
+        norm_text(F.col("invoice_id")).alias("norm_id"),
+        "copies",
+        *extra,
+    )
+    return placed.groupBy("vendor", "page").agg(F.collect_list(entry).alias("pool")), pages
+
+
+def on_pages(rows: DataFrame, ledger: DataFrame, extra: list[str] | None = None, page_rows: int = 256) -> DataFrame:
+    """Each row once with every page of its vendor's ledger rows, as ``pool``.
+
+    Pages are looked up by (vendor, page): many rows of one vendor are shared
+    out among tasks, and no task holds more than one page at a time.
+    """
+    pool, pages = pool_pages(ledger, extra, page_rows)
+    numbered = lookup(rows, pages, ["vendor"], "inner").withColumn(
+        "page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pages") - 1))
+    )
+    return lookup(numbered.drop("pages"), pool, ["vendor", "page"], "inner").drop("page")
+
+
 def search(
     submissions: DataFrame,
     ledger: DataFrame,
     top_k: int = S.RUNTIME_TOP_K,
-    cap: int = S.POOL_CAP,
     features: Callable[[str], Column] | None = None,
     similarity: Callable[[Column, Column], Column] = set_similarity,
+    page_rows: int = 256,
 ) -> DataFrame:
-    """Add ``candidates``: the ``top_k`` most similar rows of the vendor's pool.
+    """Add ``candidates``: the ``top_k`` most similar of all ledger rows of the vendor.
 
     ``features`` builds the compared column from a column prefix; the default
-    is the token set of the record's text.  The pool travels as one array per
-    vendor, so scoring and ranking stay inside the submission's row.
+    is the token set of the record's text.  Candidates are ranked by the raw
+    similarity, equal ones by ``POOL_ORDER``; the score shown has four decimals.
+
+    Submissions alike in vendor and features are searched for once.  A row
+    meets its vendor's pages one by one and hands on ``top_k`` entries of each,
+    so what is shuffled does not grow with the pool, though the scores worked
+    out do: submissions times ledger rows, within a vendor.
     """
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
     features = features or (lambda prefix: token_hashes(text_of(prefix)))
     described = ledger.withColumn("features", features(""))
-    pools = vendor_pool(described, cap, ["features"])
+    described_submissions = submissions.withColumn("_features", features(""))
+    asked = described_submissions.select("vendor", "_features").distinct()
     scored = F.transform(
         "pool",
         lambda entry: F.struct(
             (-similarity(F.col("_features"), entry["features"])).alias("distance"),
-            entry["pool_pos"].alias("pool_pos"),
+            *[entry[n].alias(n) for n in POOL_ORDER],
             entry["record"].alias("record"),
             entry["norm_id"].alias("norm_id"),
+            entry["copies"].alias("copies"),
         ),
     )
     best = F.slice(F.array_sort(scored), 1, top_k)
-    candidates = F.transform(
-        best,
-        lambda c, i: F.struct(
-            (i + 1).cast("int").alias("rank"),
-            (-c["distance"]).alias("semantic_score"),
-            c["record"].alias("ledger_record"),
-            c["norm_id"].alias("norm_id"),
-        ),
+    # Every copy of a ledger row is a candidate.
+    each = F.flatten(
+        F.transform(
+            best, lambda e: F.array_repeat(e, F.least(e["copies"], F.lit(top_k)).cast("int"))
+        )
     )
-    described_submissions = submissions.withColumn("_features", features(""))
-    return (
-        lookup(described_submissions, pools, ["vendor"])
-        .withColumn("candidates", candidates)
-        .drop("_features", "pool")
+    found = on_pages(asked, described, ["features"], page_rows).select(
+        "vendor", "_features", F.explode(F.slice(each, 1, top_k)).alias("e")
+    )
+    order = Window.partitionBy("vendor", "_features").orderBy("e.distance", *[f"e.{n}" for n in POOL_ORDER])
+    ranked = (
+        found.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= top_k)
+        .select(
+            "vendor",
+            "_features",
+            F.struct(
+                "rank",
+                F.round(-F.col("e.distance"), 4).alias("semantic_score"),
+                F.col("e.record").alias("ledger_record"),
+                F.col("e.norm_id").alias("norm_id"),
+            ).alias("c"),
+        )
+        .groupBy("vendor", "_features")
+        .agg(F.array_sort(F.collect_list("c")).alias("candidates"))
     )
+    return lookup(described_submissions, ranked, ["vendor", "_features"]).drop("_features")
 
 
 def promote_identity(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
+from tallyweave.operators.candidates import search
+from tallyweave.operators.classify import classify
 from tallyweave.operators.duplicates import flag_later_copies
 from tallyweave.operators.evaluation import stateless_expectation, stratified_split
 from tallyweave.operators.extraction import extract_fields
@@ -31,8 +33,8 @@ def rules_only(submissions: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def with_retrieval(submissions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Cases decided on their true fields, candidates retrieved."""
-    return _cases(reconcile(submissions, ledger, S.EVALUATION_TOP_K))
+    """Cases decided on their true fields by search and ladder alone: no id lookup, repair or promotion."""
+    return _cases(classify(search(submissions, ledger, S.EVALUATION_TOP_K)))
 
 
 def extracted_submissions(documents: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ FX_TOLERANCE = 0.005
 MATCH_THRESHOLD = 0.75
 AMBIGUITY_MARGIN = 0.03
 EVAL_FX_TOLERANCE = 0.0001
-POOL_CAP = 60
+POOL_REPORT = 60
 RUNTIME_TOP_K = 3
 EVALUATION_TOP_K = 5
 HISTORY_LIMIT = 200

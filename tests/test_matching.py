@@ -1,3 +1,4 @@
+import math
 from datetime import date
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import candidates, duplicates, exceptions, nearest, repair
 from tallyweave.operators.classify import classify
+from tallyweave.plans.evaluate import with_retrieval
 from tallyweave.plans.reconcile import reconcile, settle
 from tests.helpers import RECORD, ledger, record, submissions
 
@@ -110,23 +112,64 @@ def test_first_ledger_row_of_an_id(spark):
     assert blank.first().identity is None
 
 
-def test_pool_cap_and_promotion(spark):
-    """An exact id outside the pool enters with score 1; one inside keeps its score."""
-    rows = [record(invoice_id=f"A-{i:03d}") for i in range(70)]
-    book = ledger(spark, *rows)
-    subs = submissions(spark, record(invoice_id="A-069"), record(invoice_id="A-002"))
-    found = candidates.search(candidates.by_exact_id(subs, book), book, top_k=3)
-    assert {len(r.candidates) for r in found.collect()} == {3}
-    shown = candidates.promote_identity(found).orderBy("submission_id").collect()
-    outside, inside = shown[0].candidates, shown[1].candidates
-    assert outside[0].ledger_record.invoice_id == "A-069"
-    assert (outside[0].semantic_score, outside[0].rank, len(outside)) == (1.0, 1, 4)
-    assert inside[0].ledger_record.invoice_id == "A-002" and len(inside) == 3
+def test_search_covers_the_whole_pool(spark):
+    """Every row of a large vendor is found, whatever its place and however pages are cut."""
+
+    def row(i, **other):
+        return record(**{"invoice_id": f"A-{i:03d}", "amount": 100.0 + 7 * i, "quantity": i + 1} | other)
+
+    rows = [row(i) for i in range(100)]
+    book = ledger(spark, *rows, rows[90], record(invoice_id="B-1", vendor="Other"))
+    # Equal to row 10 and row 90 but for a misread id.
+    subs = submissions(spark, *[row(i, invoice_id=f"X-{i:03d}") for i in (10, 90)], record(vendor="None"))
+    want = None
+    for page_rows in (256, 7):
+        got = candidates.search(subs, book, top_k=3, page_rows=page_rows).orderBy("submission_id").collect()
+        found = [[(c.rank, c.semantic_score, c.ledger_record.invoice_id) for c in r.candidates or []] for r in got]
+        assert found[0][0][2] == "A-010" and [c[2] for c in found[1][:2]] == ["A-090", "A-090"]
+        assert [c[0] for c in found[1]] == [1, 2, 3] and found[2] == []
+        assert want in (None, found)
+        want = found
+    assert [r.status for r in reconcile(subs, book).orderBy("submission_id").collect()] == ["matched"] * 2 + ["unmatched"]
     assert candidates.vendor_candidates(subs, book).count() == 120
     with pytest.raises(ValueError):
         candidates.search(subs, book, top_k=0)
 
 
+def test_promotion(spark):
+    """An exact id that the search did not return enters with score 1; one it returned keeps its score."""
+    book = ledger(
+        spark,
+        record(invoice_id="A-001"),
+        record(invoice_id="A-002", amount=5.0, quantity=77, invoice_date=date(2020, 2, 2)),
+    )
+    subs = submissions(spark, record(invoice_id="A-002"), record(invoice_id="A-001", amount=1001.0))
+    found = candidates.search(candidates.by_exact_id(subs, book), book, top_k=1)
+    shown = candidates.promote_identity(found).orderBy("submission_id").collect()
+    outside, inside = shown[0].candidates, shown[1].candidates
+    assert outside[0].ledger_record.invoice_id == "A-002"
+    assert (outside[0].semantic_score, outside[0].rank, len(outside)) == (1.0, 1, 2)
+    assert inside[0].ledger_record.invoice_id == "A-001" and len(inside) == 1
+    assert inside[0].semantic_score < 1
+
+
+def test_ranks_by_raw_score(spark):
+    """Two vectors whose scores agree to four decimals: the nearer one first, whatever its id."""
+    near, far = [math.cos(0.001), math.sin(0.001)], [math.cos(0.009), math.sin(0.009)]
+    df = spark.createDataFrame([(1, far), (2, near)], "vec_id bigint, embedding array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = nearest.nearest_neighbours(asked, df, 2).orderBy("rank").collect()
+    assert [(r.neighbour_id, r.score) for r in got] == [(2, 1.0), (1, 1.0)]
+
+
+def test_retrieval_alone(spark):
+    """No id lookup: a record of the same id but another vendor is not a candidate."""
+    book = ledger(spark, record(), record(invoice_id="INV-00002", vendor="Other", amount=77.0))
+    subs = submissions(spark, record(invoice_id="INV-00002"))
+    assert with_retrieval(subs.withColumn("scenario", F.lit("matched")), book).first().predicted == "matched"
+    assert reconcile(subs, book).first().status == "amount_mismatch"
+
+
 def test_weak_identity(spark):
     book = ledger(spark, record(invoice_id="Z-1"))
     subs = submissions(spark, record(invoice_id="?", vendor="ACME CORP "), record(vendor="No"))
@@ -212,17 +255,18 @@ def test_investigation_covers_every_status(spark):
 
 
 def brute_force(vectors, ids, k):
-    scores = np.round(vectors @ vectors.T, 4)
+    """Ranked by the raw score, shown with four decimals."""
+    scores = (vectors[:, None, :] * vectors[None, :, :]).sum(-1)
     out = []
     for i, name in enumerate(ids):
         ranked = sorted((-scores[i, j], ids[j]) for j in range(len(ids)) if j != i)
-        out += [(name, r + 1, n, -s) for r, (s, n) in enumerate(ranked[:k])]
+        out += [(name, r + 1, n, round(-s, 4)) for r, (s, n) in enumerate(ranked[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("block_rows,pivots", [(2048, None), (16, 12), (8, 1)])
-def test_nearest_neighbours_are_exact(spark, block_rows, pivots):
-    """Clusters, scattered points, and one vector that is a third of the table."""
+@pytest.mark.parametrize("block_rows,unit", [(2048, True), (16, True), (7, False)])
+def test_nearest_neighbours_are_exact(spark, block_rows, unit):
+    """Clusters, scattered points, one vector that is a third of the table; of one length or of any."""
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(6, 8))
     points = np.concatenate(
@@ -232,16 +276,26 @@ def test_nearest_neighbours_are_exact(spark, block_rows, pivots):
             np.repeat(rng.normal(size=(1, 8)), 40, axis=0),
         ]
     )
-    points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype("float32")
+    if unit:
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points = points.astype("float32")
     ids = [int(i) for i in rng.permutation(len(points))]
     df = spark.createDataFrame(
         [(i, p.tolist()) for i, p in zip(ids, points)], "vec_id bigint, embedding array<float>"
     )
-    got = nearest.nearest_neighbours(
-        df, df, 3, exclude_self=True, block_rows=block_rows, pivots=pivots
-    )
+    got = nearest.nearest_neighbours(df, df, 3, exclude_self=True, block_rows=block_rows)
     rows = sorted((r.query_id, r.rank, r.neighbour_id, r.score) for r in got.collect())
-    assert rows == brute_force(points.astype("float64"), ids, 3)
+    want = brute_force(points.astype("float64"), ids, 3)
+    assert [r[:3] for r in rows] == [w[:3] for w in want]
+    assert [r[3] for r in rows] == pytest.approx([w[3] for w in want], abs=1.01e-4)
+
+
+def test_neighbours_reject_bad_vectors(spark):
+    good = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    for bad in (None, [1.0, None], [1.0, 0.0, 0.0]):
+        one = spark.createDataFrame([(2, bad)], good.schema)
+        with pytest.raises(Exception):
+            nearest.nearest_neighbours(good, good.unionByName(one), 1).collect()
 
 
 def test_neighbours_of_small_pools(spark):
