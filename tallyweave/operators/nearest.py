@@ -1,12 +1,11 @@
-"""Exact nearest neighbours over a whole pool, without comparing all pairs.
-
-The vectors have unit length, so inner product and distance give the same
-order and distances obey the triangle inequality.  Both sides are cut into
-cells around a few pivots and cells into blocks of bounded size.  Queries meet
-the blocks of their own cell first; the k-th score found there tells which
-other cells can still hold a better neighbour, and only pairs of blocks that
-can are joined.  Copies of a vector are folded into one row beforehand, so a
-vector that makes up much of the table costs as much as any other.
+"""Exact nearest neighbours by inner product, tile by tile.
+
+Queries and pool are cut into blocks of bounded size by a hash; every pair of
+blocks is one tile, a matrix product that hands on the best ``k`` per query.
+Nothing is assumed of the vectors, so any lengths are fine.  Copies of a vector
+are folded into one row beforehand: a vector that makes up much of the table
+costs as much as any other.  The work is queries times pool, as an exact answer
+over vectors that do not cluster needs.
 """
 
 from __future__ import annotations
@@ -17,16 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyweave.operators.lookup import lookup
-from tallyweave.session import cut_lineage
-
-#: Scores are kept to four decimals and vectors are of unit length up to
-#: single precision; a cell is skipped only when it misses by more than this.
-SLACK = 5e-4
-
-MAX_PIVOTS = 1024
 
 
 def _name(vector: Column | str) -> Column:
@@ -34,6 +25,12 @@ def _name(vector: Column | str) -> Column:
     return F.concat_ws(":", F.xxhash64(vector), F.xxhash64(F.lit(1), vector))
 
 
+def _sound(vector: str) -> Column:
+    """The vector; NULL vectors and NULLs inside are an error, as wrong lengths are in a tile."""
+    bad = F.col(vector).isNull() | F.exists(vector, lambda x: x.isNull())
+    return F.when(bad, F.raise_error(F.lit("a vector is NULL or holds NULL"))).otherwise(F.col(vector))
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype("float64")
 
@@ -42,7 +39,7 @@ def _fold(df: DataFrame, id_col: str, vec_col: str, keep: int) -> DataFrame:
     """One row per distinct vector with its ``keep`` smallest ids."""
     nth = Window.partitionBy("vec").orderBy("id")
     return (
-        df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+        df.select(F.col(id_col).alias("id"), _sound(vec_col).alias("vec"))
         .withColumn("_nth", F.row_number().over(nth))
         .filter(F.col("_nth") <= keep)
         .groupBy("vec")
@@ -50,84 +47,14 @@ def _fold(df: DataFrame, id_col: str, vec_col: str, keep: int) -> DataFrame:
     )
 
 
-def _pivots(pool: DataFrame, count: int) -> np.ndarray:
-    """``count`` vectors of the pool, spread by hash; at most ``MAX_PIVOTS``."""
-    rows = pool.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(count).collect()
-    return np.array([row["vec"] for row in rows], dtype="float64")
-
-
-def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squared = (
-        (vectors**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2.0 * vectors @ pivots.T
-    )
-    return np.sqrt(np.maximum(squared, 0.0))
-
-
-def _with_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it."""
-
-    def assign(batches):
-        for batch in batches:
-            if len(batch):
-                away = _distances(_matrix(batch["vec"]), pivots)
-                cell = away.argmin(1)
-                yield batch.assign(cell=cell.astype("int32"), away=away[np.arange(len(cell)), cell])
-
-    cell = T.StructField("cell", T.IntegerType())
-    schema = T.StructType([*df.schema.fields, cell, T.StructField("away", T.DoubleType())])
-    return df.mapInPandas(assign, schema)
-
-
-def _cell_table(df: DataFrame, block_rows: int) -> dict[int, tuple[int, float]]:
-    """Blocks and radius of each cell; one row per pivot."""
-    rows = df.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()
-    return {r["cell"]: (max(1, math.ceil(r["n"] / block_rows)), r["radius"]) for r in rows}
-
-
-def _block(cells: dict[int, tuple[int, float]]) -> Column:
-    """Block name within the cell: large cells are split by hash."""
-    blocks = F.create_map(*[F.lit(v) for c, (n, _) in cells.items() for v in (c, n)])
-    part = F.pmod(F.xxhash64("vec"), F.element_at(blocks, F.col("cell")).cast("long"))
-    return F.concat_ws(":", "cell", part)
-
-
-def _join_blocks(
-    queries: DataFrame, pool: DataFrame, pairs: DataFrame, k: int, id_type: str
-) -> DataFrame:
-    """Top ``k`` of every query within each paired block.
-
-    ``k`` counts distinct vectors; a pair of blocks is one bounded group.
-    """
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "score": [], "ids": []}
-        if len(left) and len(right):
-            right = right.assign(first=right["ids"].map(lambda ids: ids[0])).sort_values("first")
-            scores = np.round(_matrix(left["vec"]) @ _matrix(right["vec"]).T, 4)
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            ids = right["ids"].to_numpy()
-            for row, name in enumerate(left["q"].to_numpy()):
-                for place in order[row]:
-                    out["q"].append(name)
-                    out["score"].append(float(scores[row, place]))
-                    out["ids"].append(ids[place])
-        return pd.DataFrame(out)
-
-    pair = [F.col("qblock").alias("qb"), F.col("pblock").alias("pb")]
-    left = queries.join(pairs, "qblock").select("q", "vec", *pair)
-    right = pool.join(pairs, "pblock").select("ids", "vec", *pair)
-    return (
-        left.groupBy("qb", "pb")
-        .cogroup(right.groupBy("qb", "pb"))
-        .applyInPandas(best, f"q string, score double, ids array<{id_type}>")
+def _tiles(df: DataFrame, blocks: int, others: int, own: str, other: str) -> DataFrame:
+    """Each row in the tiles of its own block with all blocks of the other side."""
+    across = F.sequence(F.lit(0), F.lit(others - 1))
+    return df.withColumns(
+        {own: F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int"), other: F.explode(across)}
     )
 
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
-    return found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
-
-
 def nearest_neighbours(
     queries: DataFrame,
     pool: DataFrame,
@@ -137,112 +64,53 @@ def nearest_neighbours(
     vector: str = "embedding",
     exclude_self: bool = False,
     block_rows: int = 2048,
-    pivots: int | None = None,
 ) -> DataFrame:
     """The ``k`` pool rows of highest inner product for every query row.
 
-    Returns ``query_id, rank, neighbour_id, score``; equal scores are ordered
-    by id.  ``exclude_self`` drops a query's own id from its answer.
+    Returns ``query_id, rank, neighbour_id, score``; ranked by the raw score,
+    equal scores by id; the score shown has four decimals.  ``exclude_self``
+    drops a query's own id from its answer.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     wanted = k + 1 if exclude_self else k
     id_type = pool.schema[pool_id].dataType.simpleString()
-    folded_pool = cut_lineage(_fold(pool, pool_id, vector, wanted))
-    size = folded_pool.count()
+    size = pool.count()
     if size == 0:
         raise ValueError("the pool is empty")
-    count = min(pivots or math.ceil(size / block_rows), MAX_PIVOTS)
-    points = _pivots(folded_pool, count)
-    distinct = queries.select(F.col(vector).alias("vec")).distinct()
-    q = cut_lineage(_with_cells(distinct.withColumn("q", _name("vec")), points))
-    p = cut_lineage(_with_cells(folded_pool, points))
-    q_cells, p_cells = _cell_table(q, block_rows), _cell_table(p, block_rows)
-    q = q.withColumn("qblock", _block(q_cells))
-    p = p.withColumn("pblock", _block(p_cells))
+    pool_blocks = math.ceil(size / block_rows)
+    query_blocks = max(1, math.ceil(queries.count() / block_rows))
+    distinct = queries.select(_sound(vector).alias("vec")).distinct().withColumn("q", _name("vec"))
+    left = _tiles(distinct, query_blocks, pool_blocks, "qb", "pb")
+    right = _tiles(_fold(pool, pool_id, vector, wanted), pool_blocks, query_blocks, "pb", "qb")
 
-    spark = pool.sparkSession
-    layout = spark.createDataFrame(
-        [(c, n, float(r)) for c, (n, r) in p_cells.items()], "pcell int, blocks int, radius double"
-    )
-
-    def paired(cell_pairs: DataFrame) -> DataFrame:
-        return cell_pairs.join(F.broadcast(layout), "pcell").select(
-            "qblock",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), F.col("blocks") - 1),
-                    lambda part: F.concat_ws(":", "pcell", part),
-                )
-            ).alias("pblock"),
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": [], "score": [], "ids": []})
+        right = right.assign(first=[ids[0] for ids in right["ids"]]).sort_values("first")
+        scores = _matrix(left["vec"]) @ _matrix(right["vec"]).T
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :wanted]
+        return pd.DataFrame(
+            {
+                "q": np.repeat(left["q"].to_numpy(), order.shape[1]),
+                "score": np.take_along_axis(scores, order, axis=1).ravel(),
+                "ids": right["ids"].to_numpy()[order.ravel()],
+            }
         )
 
-    own = paired(q.select("qblock", F.col("cell").alias("pcell")).distinct())
-    first = _join_blocks(q, p, own, wanted, id_type)
-    if len(p_cells) == 1:
-        return _answers(queries, first, k, wanted, query_id, vector, exclude_self)
-    first = cut_lineage(first)
-    floor = _top(first, wanted).groupBy("q").agg(
-        F.min("score").alias("floor"), F.sum(F.size("ids")).alias("have")
-    )
-
-    cells = sorted(p_cells)
-    radii = np.array([p_cells[c][1] for c in cells])
-    centres = points[cells]
-
-    def reachable(batches):
-        """Pairs of a query block and another cell that may hold better rows."""
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors = _matrix(batch["vec"])
-            away = _distances(vectors, centres)
-            home = _distances(vectors, points).min(1)[:, None]
-            least = np.maximum(away - radii[None, :], (away - home) / 2.0)
-            score = batch["floor"].fillna(-1.0).to_numpy(dtype="float64")
-            score = np.where(batch["have"].fillna(0).to_numpy() < wanted, -1.0, score)
-            reach = np.sqrt(np.maximum(2.0 - 2.0 * (score - SLACK), 0.0)) + SLACK
-            open_ = least <= reach[:, None]
-            rows = pd.DataFrame(open_).groupby(batch["qblock"].to_numpy()).any()
-            own_cell = rows.index.map(lambda name: int(name.split(":")[0])).to_numpy()
-            hit, column = np.nonzero(rows.to_numpy())
-            other = np.array(cells)[column] != own_cell[hit]
-            yield pd.DataFrame(
-                {
-                    "qblock": rows.index.to_numpy()[hit[other]],
-                    "pcell": np.array(cells, dtype="int32")[column[other]],
-                }
-            )
-
-    others = paired(
-        q.join(floor, "q", "left")
-        .select("qblock", "vec", "floor", "have")
-        .mapInPandas(reachable, "qblock string, pcell int")
-        .distinct()
-    )
-    second = _join_blocks(q, p, others, wanted, id_type)
-    return _answers(
-        queries, first.unionByName(second), k, wanted, query_id, vector, exclude_self
+    found = (
+        left.groupBy("qb", "pb")
+        .cogroup(right.groupBy("qb", "pb"))
+        .applyInPandas(best, f"q string, score double, ids array<{id_type}>")
     )
-
-
-def _answers(
-    queries: DataFrame,
-    found: DataFrame,
-    k: int,
-    wanted: int,
-    query_id: str,
-    vector: str,
-    exclude_self: bool,
-) -> DataFrame:
-    """Hand the neighbours of each distinct vector to all queries that have it."""
+    rank = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     near = (
-        _top(found, wanted)
+        found.withColumn("_n", F.row_number().over(rank))
+        .filter(F.col("_n") <= wanted)
         .groupBy("q")
         .agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     )
     asked = queries.select(F.col(query_id).alias("query_id"), _name(vector).alias("q"))
-    answers = lookup(asked, near, ["q"], "inner")
     each = F.flatten(
         F.transform(
             "near",
@@ -253,11 +121,13 @@ def _answers(
     )
     if exclude_self:
         each = F.filter(each, lambda n: n["id"] != F.col("query_id"))
-    return answers.select(
-        "query_id", F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("_at", "n")
-    ).select(
-        "query_id",
-        (F.col("_at") + 1).alias("rank"),
-        F.col("n.id").alias("neighbour_id"),
-        (-F.col("n.distance")).alias("score"),
+    return (
+        lookup(asked, near, ["q"], "inner")
+        .select("query_id", F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("_at", "n"))
+        .select(
+            "query_id",
+            (F.col("_at") + 1).alias("rank"),
+            F.col("n.id").alias("neighbour_id"),
+            F.round(-F.col("n.distance"), 4).alias("score"),
+        )
     )
