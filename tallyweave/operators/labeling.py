@@ -48,9 +48,13 @@ def _may_resemble(word: Column, name: Column, least: float) -> Column:
     some pair of neighbours must occur in the longer string.
     """
     word_is_shorter = F.length(word) <= F.length(name)
-    lacking = F.when(
-        word_is_shorter, F.length(F.call_function("translate", word, name, F.lit("")))
-    ).otherwise(F.length(F.call_function("translate", name, word, F.lit(""))))
+    # Of one length, either may play the shorter one.
+    of_word = F.length(F.call_function("translate", word, name, F.lit("")))
+    of_name = F.length(F.call_function("translate", name, word, F.lit("")))
+    same_length = F.length(word) == F.length(name)
+    lacking = (
+        F.when(same_length, F.least(of_word, of_name)).when(word_is_shorter, of_word).otherwise(of_name)
+    )
     shorter = F.least(F.length(word), F.length(name))
     t = least / 100.0
     few_lacking = lacking <= shorter * (1.0 - t / (2.0 - t)) + 1e-9

@@ -45,13 +45,14 @@ def settle(
     ledger: DataFrame,
     audit: DataFrame | None = None,
     top_k: int = S.RUNTIME_TOP_K,
+    run_id: str | None = None,
 ) -> DataFrame:
     """Reconcile, flag duplicates, explain exceptions and draft letters.
 
-    ``audit`` is the history so far; copies within the batch are found as well.
+    ``audit`` is the history so far; what it knows counts before copies within
+    the batch do.  ``run_id``, if given, lets those name the first one's event.
     """
     results = cut_lineage(reconcile(submissions, ledger, top_k))
-    settled = flag_later_copies(results)
     if audit is not None:
-        settled = flag_known_invoices(settled, audit)
-    return draft_letters(investigate(settled))
+        results = flag_known_invoices(results, audit)
+    return draft_letters(investigate(flag_later_copies(results, run_id=run_id)))

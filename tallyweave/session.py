@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: that is unique per key (see ``operators.lookup``), so splitting the other
 #: side's hot partitions is enough to spread a key that holds a large share of
 #: the rows; it is forced even where it costs one more exchange.
+EXCLUDED = "spark.sql.optimizer.excludedRules"
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,7 +21,7 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Exploding a computed array would otherwise first filter on its size, down
     # at the scan, and so work out every array twice.
-    "spark.sql.optimizer.excludedRules": (
+    EXCLUDED: (
         "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
     ),
 }
@@ -29,6 +30,10 @@ RUNTIME_CONF = {
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():
+        if key == EXCLUDED:
+            # Rules that the session's owner has excluded stay so.
+            theirs = [r for r in (spark.conf.get(key, None) or "").split(",") if r.strip()]
+            value = ",".join(dict.fromkeys([*theirs, value]))
         spark.conf.set(key, value)
     return spark
 

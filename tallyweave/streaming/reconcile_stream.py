@@ -27,12 +27,17 @@ from tallyweave.schemas import AUDIT_EVENT
 from tallyweave.session import cut_lineage
 from tallyweave.sources.audit import audit_events
 
+#: What reading a table that no batch has written to yet fails with.
+NOTHING_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
 
 def _events_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     """Audit events of the earlier batches."""
     try:
         events = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in NOTHING_YET:
+            raise
         return spark.createDataFrame([], T.StructType([*AUDIT_EVENT.fields, T.StructField("batch_id", T.IntegerType())]))
     return events.filter(F.col("batch_id") < batch_id)
 
@@ -59,10 +64,16 @@ def settle_batch(
     relevant = earlier.join(
         seen.select("invoice_id").distinct(), "invoice_id", "left_semi"
     )
-    flagged = flag_later_copies(flag_known_invoices(results, relevant))
+    known = flag_known_invoices(results, relevant)
+    flagged = flag_later_copies(known, run_id=run_id, event_time=event_time)
     events = audit_events(draft_letters(investigate(flagged)), run_id, event_time)
     new = events.join(relevant.select("audit_event_id"), "audit_event_id", "left_anti")
-    new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    (
+        new.withColumn("event_date", F.to_date("event_timestamp"))
+        .write.mode("overwrite")
+        .partitionBy("event_date")
+        .parquet(f"{path}/batch_id={batch_id}")
+    )
 
 
 def reconcile_stream(
@@ -101,8 +112,9 @@ def append_once(
         try:
             known = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select(id_col)
             fresh = fresh.join(known, id_col, "left_anti")
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if error.getCondition() not in NOTHING_YET:
+                raise
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (

@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
 from tallyweave.operators import approvals
 from tallyweave.plans.reconcile import reconcile, settle
+from tallyweave.session import tune
 from tallyweave.sources import audit, tables
 from tallyweave.streaming import reconcile_stream as streams
 from tests.helpers import ledger, record, submissions
@@ -70,6 +73,10 @@ def test_audit_trail(spark, tmp_path):
     only = audit.list_history(stored, root_cause="amount_mismatch", severity="high").collect()
     assert len(only) == 1 and audit.list_history(stored, severity="low").count() == 0
     assert audit.list_history(stored, limit=0).count() == 1
+    next_page = audit.list_history(stored, after=(rows[0].event_timestamp, rows[0].audit_event_id))
+    assert [r.audit_event_id for r in next_page.collect()] == [r.audit_event_id for r in rows[1:]]
+    with pytest.raises(ValueError):
+        audit.list_history(stored, limit=501)
     shown = {r.invoice_id + r.reconciliation_status: r for r in audit.history_report(stored).collect()}
     assert shown["INV-00001matched"].review_status == "No review required"
     assert shown["INV-00001amount_mismatch"].root_cause == "amount_mismatch"
@@ -151,6 +158,12 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = settle(subs, book)
     want = {r.status: r["count"] for r in batch.groupBy("status").count().collect()}
     assert counts == want and trail.count() == 20
+    # Whether the first one came in the same batch or earlier, a copy names its event.
+    ids = {r.audit_event_id for r in trail.filter("reconciliation_status = 'matched'").collect()}
+    copies = trail.filter("reconciliation_status = 'duplicate_charge'").collect()
+    assert copies and {r.confidence for r in copies} == {1.0}
+    assert {json.loads(r.discrepancy_details_json)["prior_audit_event_id"] for r in copies} <= ids
+    assert audit.read_events(spark, path, "2020-01-01").count() == 20
     # A batch that runs again leaves the same rows.
     last = subs.filter("submission_id >= 12")
     streams.settle_batch(last, 2, book, path, "run-1")
@@ -166,3 +179,15 @@ def test_events_appended_once(spark, tmp_path):
     path = str(tmp_path / "out")
     streams.append_once(stream, path, str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(path).count() == 50
+
+
+def test_tune_keeps_rules_the_owner_excluded(spark):
+    key, before = "spark.sql.optimizer.excludedRules", spark.conf.get("spark.sql.optimizer.excludedRules", None)
+    theirs = "org.apache.spark.sql.catalyst.optimizer.CombineUnions"
+    try:
+        spark.conf.set(key, theirs)
+        tune(tune(spark))
+        rules = spark.conf.get(key).split(",")
+        assert theirs in rules and len(rules) == len(set(rules)) == 2
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
