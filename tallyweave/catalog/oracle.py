@@ -745,6 +745,12 @@ FROM requests r LEFT JOIN reviews v
   ON v.invoice_id = r.invoice_id AND v.environment = 'local'"""
 )
 
+# Whatever could be approved is open once the log is read back.
+ORACLE["approval_log"] = (
+    "SELECT request_id, invoice_id, CASE outcome WHEN 'approved' THEN 'review already open' "
+    f"ELSE outcome END AS outcome FROM ({ORACLE['approve_drafts']})"
+)
+
 # --- scoring -----------------------------------------------------------------
 
 _ACCURACY = f"""SELECT count(*) AS total_cases,
@@ -1127,7 +1133,7 @@ ORACLE["best_spans"] = (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type
       ORDER BY score DESC, start_word) AS n FROM true_spans) WHERE n = 1),
 wide AS (
-  SELECT d.doc_id, v.text AS vendor, t.text AS total_text, a.text AS date_text,
+  SELECT d.doc_id, d.text AS raw, v.text AS vendor, t.text AS total_text, a.text AS date_text,
     (coalesce(v.score, 0) + coalesce(a.score, 0) + coalesce(t.score, 0)) / nullif(
       (v.score IS NOT NULL)::INT + (a.score IS NOT NULL)::INT + (t.score IS NOT NULL)::INT, 0)
       AS mean
@@ -1139,11 +1145,35 @@ wide AS (
     + f"""SELECT doc_id, coalesce(vendor, 'UNKNOWN-VENDOR') AS vendor,
   coalesce(date_text, '') AS date_text, coalesce(total_text, '') AS total_text,
   CASE
-{_MARKERS.format(t="upper(coalesce(total_text, ''))")}
+{_MARKERS.format(t="upper(coalesce(total_text, raw))")}
     ELSE 'MYR' END AS currency,
   coalesce({_r_printed("mean", 4)}, 0) AS overall_confidence
 FROM wide"""
 )
+ORACLE["span_records"] = (
+    _with(
+        LEDGER,
+        NOISY,
+        """scored AS (
+  SELECT l.*, style, CASE WHEN k % 5 > 0 THEN (k % 4 + 4) / 8.0::DOUBLE END AS v,
+    CASE WHEN k % 7 > 0 THEN 0.75::DOUBLE END AS d,
+    CASE WHEN k % 6 > 0 THEN (k % 3 + 1) / 8.0::DOUBLE END AS t
+  FROM ledger l JOIN (SELECT k, style FROM noisy) USING (k)),
+named AS (
+  SELECT *, (coalesce(v, 0) + coalesce(d, 0) + coalesce(t, 0)) / nullif(
+    (v IS NOT NULL)::INT + (d IS NOT NULL)::INT + (t IS NOT NULL)::INT, 0) AS mean FROM scored)""",
+    )
+    + f"""SELECT k, 'UNKNOWN-INVOICE-ID' AS invoice_id,
+  CASE WHEN d IS NOT NULL AND style < 11 THEN strftime({_SWAPPED}, '%Y-%m-%d')
+    ELSE '1970-01-01' END AS invoice_date,
+  CASE WHEN v IS NULL THEN 'UNKNOWN-VENDOR' ELSE vendor END AS vendor,
+  CASE WHEN t IS NULL THEN 0.0 WHEN style % 3 = 0 THEN -amount ELSE amount END AS amount,
+  CASE WHEN t IS NULL THEN currency ELSE 'MYR' END AS currency,
+  1 AS quantity, 1.0::DOUBLE AS fx_rate,
+  coalesce({_r_printed("mean", 4)}, 0) AS overall_confidence,
+  coalesce(v, 0) AS vendor_confidence, coalesce(d, 0) AS invoice_date_confidence,
+  coalesce(t, 0) AS amount_confidence FROM named"""
+)
 
 # --- cases -------------------------------------------------------------------
 

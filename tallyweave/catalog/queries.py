@@ -29,6 +29,7 @@ from tallyweave.operators import (
     labeling,
     nearest,
     repair,
+    spans,
     validation,
 )
 from tallyweave.operators.lookup import lookup
@@ -538,6 +539,23 @@ def approve_drafts(spark, folder):
     )
 
 
+@query
+def approval_log(spark, folder):
+    """Approvals appended to a table, read back, and every request made again."""
+    path = _scratch(spark, "approvals")
+    requests = I.approval_requests(reconcile.reconcile_by_id(*I.pair(spark, folder)))
+    log = I.event_approvals(spark, folder)
+    approvals.append_approvals(log, path)
+    first = approvals.decide(requests, spark.read.schema(log.schema).parquet(path))
+    approvals.append_approvals(
+        approvals.approval_events(first, F.to_timestamp(F.lit("2030-01-01 00:00:00"))).select(log.columns), path
+    )
+    again = approvals.decide(requests, spark.read.schema(log.schema).parquet(path))
+    return again.select(
+        "request_id", "invoice_id", F.coalesce("refused", F.lit("approved")).alias("outcome")
+    )
+
+
 # --- scoring -----------------------------------------------------------------
 
 
@@ -1063,25 +1081,31 @@ def best_label(spark, folder):
 @query
 def best_spans(spark, folder):
     """The best span of each type, and their mean score."""
-    spans = labeling.with_spans(I.labelled_documents(spark, folder))
-    best = spans.select(
+    docs = I.labelled_documents(spark, folder)
+    found = labeling.with_spans(docs)
+    best = found.select(
         "doc_id",
+        F.array_join("words", " ").alias("raw"),
         *[labeling.best_span(F.col("spans"), kind).alias(kind) for kind in S.ENTITY_TYPES],
     )
-    found = F.array_compact(F.array(*[F.col(f"{kind}.score") for kind in S.ENTITY_TYPES]))
-    mean = F.aggregate(found, F.lit(0.0), lambda total, s: total + s) / F.size(found)
     return best.select(
         "doc_id",
         F.coalesce("VENDOR.text", F.lit(S.NO_VENDOR)).alias("vendor"),
         F.coalesce("DATE.text", F.lit("")).alias("date_text"),
         F.coalesce("TOTAL.text", F.lit("")).alias("total_text"),
-        extraction.norm_currency(F.coalesce("TOTAL.text", F.lit(""))).alias("currency"),
-        F.when(F.size(found) > 0, F.round(mean, 4)).otherwise(F.lit(0.0)).alias(
-            "overall_confidence"
-        ),
+        extraction.norm_currency(F.coalesce("TOTAL.text", "raw")).alias("currency"),
+        spans.overall_confidence([F.col(kind) for kind in S.ENTITY_TYPES]).alias("overall_confidence"),
     )
 
 
+@query
+def span_records(spark, folder):
+    """Spans of documents in many ways of writing, as invoice records."""
+    docs = labeling.with_spans(I.span_documents(spark, folder))
+    records = spans.span_records(docs, ["k"])
+    return records.withColumn("invoice_date", day("invoice_date"))
+
+
 # --- cases -------------------------------------------------------------------
 
 
