@@ -986,6 +986,56 @@ GROUP BY ALL"""
 
 ORACLE["token_checks"] = """SELECT doc_id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS accepted
 FROM documents"""
+# A line resembles a name if some piece of the longer text shares a subsequence of at least 86 % with
+# the shorter one.  Every piece is measured, one bit of a number per character of the shorter text;
+# only pairs are left out whose shorter text has too few of its characters in the other at all.
+ORACLE["fuzzy_vendor_match"] = (
+    _with(
+        *INVOICES,
+        r"""read AS (
+  SELECT submission_id, trim(regexp_replace(lower(translate(vendor, 'so', '50')), '[^a-z0-9]+', ' ', 'g'))
+      AS name, unnest([vendor, 'INVOICE', concat('Invoice No.: ', invoice_id),
+      concat('Invoice Date: ', invoice_date), concat('Currency: ', currency),
+      concat('FX Rate: ', CAST(fx_rate AS DECIMAL(10,4))), 'Description Qty Unit Price Line Total',
+      concat('Services ', quantity, ' ', CAST(amount AS DECIMAL(18,2))),
+      concat('Subtotal ', CAST(amount AS DECIMAL(18,2))), 'Tax 0.00',
+      concat('TOTAL DUE ', CAST(amount AS DECIMAL(18,2)), ' ', currency)]) AS line,
+    generate_subscripts(range(11), 1) AS place
+  FROM subs),
+plain AS (
+  SELECT submission_id, place, name,
+    trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) AS line FROM read),
+pairs AS (
+  SELECT DISTINCT name, line FROM plain
+  WHERE name <> '' AND length(line) >= 4 AND NOT contains(name, line)),
+sides AS (
+  SELECT name, line, name AS short, line AS long FROM pairs WHERE length(name) <= length(line)
+  UNION ALL SELECT name, line, line, name FROM pairs WHERE length(line) <= length(name)),
+likely AS (
+  SELECT *, length(short) AS m, length(long) AS n FROM sides
+  WHERE length(regexp_replace(short, concat('[^', long, ']'), '', 'g')) >= 0.75 * length(short)),
+marks AS (
+  SELECT name, line, m, n, (1::HUGEINT << m::INT) - 1 AS full_row,
+    list_transform(string_split(long, ''), lambda ch: list_sum(list_transform(range(m), lambda p:
+      CASE WHEN substr(short, p + 1, 1) = ch THEN 1::HUGEINT << p::INT ELSE 0::HUGEINT END))::HUGEINT) AS hits
+  FROM likely),
+pieces AS (
+  SELECT name, line, m, full_row, least(start + m, n) - greatest(start, 0) AS size,
+    hits[greatest(start, 0) + 1 : least(start + m, n)] AS hits
+  FROM (SELECT *, unnest(range(1 - m, n)) AS start FROM marks)),
+similar_pairs AS (
+  SELECT DISTINCT name, line FROM pieces
+  WHERE 200.0::DOUBLE * (m - bit_count(list_reduce(hits, lambda r, h:
+      ((r + (r & h)) | (r - (r & h))) & full_row, full_row))) / (m + size) >= 86),
+flagged AS (
+  SELECT submission_id, place, (p.name <> '' AND p.line <> '' AND contains(p.name, p.line))
+    OR s.line IS NOT NULL AS hit
+  FROM plain p LEFT JOIN similar_pairs s ON s.name = p.name AND s.line = p.line)""",
+    )
+    + """SELECT submission_id, CAST(count(*) FILTER (WHERE hit) AS INTEGER) AS matching_lines,
+  bool_or(hit AND place = 1) AS header_matches
+FROM flagged GROUP BY submission_id"""
+)
 ORACLE["bio_labels"] = (
     _with(
         *INVOICES,
