@@ -1281,5 +1281,16 @@ ORACLE["stream_reconcile"] = (
     _with(*INVOICES, DECIDED, EXPLAINED)
     + "SELECT final AS reconciliation_status, count(*) AS events FROM explained GROUP BY final"
 )
+ORACLE["stream_settle"] = (
+    _with(
+        *INVOICES, MISREAD, REPAIRED, POOL, _search("repaired", 3), PROMOTED, _ladder("repaired"),
+        """settled AS (
+  SELECT CASE WHEN status = 'matched' AND row_number() OVER (
+      PARTITION BY r.invoice_id, r.vendor, r.amount, r.currency, status
+      ORDER BY submission_id) > 1 THEN 'duplicate_charge' ELSE status END AS final
+  FROM laddered l JOIN repaired r USING (submission_id))""",
+    )
+    + "SELECT final AS reconciliation_status, count(*) AS events FROM settled GROUP BY final"
+)
 ORACLE["stream_audit_dedupe"] = """SELECT event_type, count(*) AS events,
   count(DISTINCT event_id) AS ids FROM events GROUP BY event_type"""

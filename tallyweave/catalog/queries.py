@@ -1184,6 +1184,32 @@ def stream_reconcile(spark, folder):
     )
 
 
+@query
+def stream_settle(spark, folder):
+    """Misread submissions through the whole matcher in several micro-batches; the trail's statuses.
+
+    Copies of an invoice mostly come in different micro-batches.
+    """
+    arrivals, book, path, checkpoint = (_scratch(spark, n) for n in ("arrivals", "ledger", "trail", "stream"))
+    files = spark.sparkContext.defaultParallelism
+    submitted = I.misread(spark, folder)
+    submitted.repartition(files, "submission_id").write.parquet(arrivals)
+    # Every micro-batch reads the ledger, so it is built once.
+    V.ledger(spark, folder).write.parquet(book)
+    stream = (
+        spark.readStream.schema(submitted.schema)
+        .option("maxFilesPerTrigger", max(1, -(-files // 2)))
+        .parquet(arrivals)
+    )
+    ledger = spark.read.parquet(book)
+    streams.reconcile_stream(stream, ledger, path, checkpoint, "run-1").awaitTermination()
+    return (
+        audit.read_events(spark, path, "1970-01-01")
+        .groupBy("reconciliation_status")
+        .agg(F.count("*").alias("events"))
+    )
+
+
 @query
 def stream_audit_dedupe(spark, folder):
     """Events streamed twice over into a table that keeps each id once."""

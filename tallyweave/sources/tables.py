@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,28 @@ def manifest_rows(manifest: DataFrame) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Put ``df`` in the place of whatever the table held."""
-    df.write.mode("overwrite").parquet(path)
+    """Put ``df`` in the place of whatever the table held.
+
+    The new rows are written beside the table and take its place when they are
+    complete, so a failed write changes nothing and ``df`` may read the table
+    itself.  On file systems without an atomic rename, readers that start
+    between the two renames find no table.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    target = path.rstrip("/")
+    staged, former = f"{target}.new-{mark}", f"{target}.old-{mark}"
+    df.write.parquet(staged)
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = as_path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    replaced = files.exists(as_path(target))
+    if replaced and not files.rename(as_path(target), as_path(former)):
+        raise OSError(f"{target} cannot be replaced; the new rows are in {staged}")
+    if not files.rename(as_path(staged), as_path(target)):
+        if replaced:
+            files.rename(as_path(former), as_path(target))
+        raise OSError(f"{target} cannot be replaced; the new rows are in {staged}")
+    if replaced:
+        files.delete(as_path(former), True)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

@@ -52,6 +52,18 @@ def test_replace_and_append(spark, tmp_path):
     assert tables.scan_ledger(spark.read.parquet(path), "B").columns == S.RECORD_FIELDS
 
 
+def test_a_table_replaced_by_what_is_read_from_it(spark, tmp_path):
+    path = str(tmp_path / "book")
+    tables.replace_table(ledger(spark, record(vendor="A"), record(vendor="B")), path)
+    tables.replace_table(spark.read.parquet(path).filter("vendor = 'B'"), path)
+    assert [r.vendor for r in spark.read.parquet(path).collect()] == ["B"]
+    failing = spark.read.parquet(path).withColumn("amount", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        tables.replace_table(failing, path)
+    assert [r.vendor for r in spark.read.parquet(path).collect()] == ["B"]
+    assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
+
+
 def test_audit_trail(spark, tmp_path):
     book = ledger(spark, record())
     subs = submissions(spark, record(), record(amount=1037.5), record(invoice_id="N", vendor=None))
