@@ -28,6 +28,27 @@ def misread(spark: SparkSession, folder: str) -> DataFrame:
     return V.corrupted(V.submissions(spark, folder))
 
 
+def doubtful_misread(spark: SparkSession, folder: str) -> DataFrame:
+    """Misread submissions that also lose their id, date, or several fields at once."""
+    key = order_key()
+    badly = key % 8 == 0
+
+    def changed(name: str, when: Column, value: Column) -> Column:
+        return F.when(when, value).otherwise(F.col(name))
+
+    cents = F.round(F.col("amount") * 100) + 123450
+    return misread(spark, folder).withColumns(
+        {
+            "invoice_id": changed("invoice_id", key % 2 == 0, F.replace("invoice_id", F.lit("INV-"), F.lit("INV-9"))),
+            "invoice_date": changed("invoice_date", key % 3 == 0, F.date_add("invoice_date", 1)),
+            "currency": changed("currency", badly, F.lit("MYR")),
+            "quantity": changed("quantity", badly, F.col("quantity") + 50),
+            "amount": changed("amount", badly, cents / 100),
+            "fx_rate": changed("fx_rate", key % 16 == 0, F.lit(1.75)),
+        }
+    )
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return V.invoice_text(V.submissions(spark, folder))
 

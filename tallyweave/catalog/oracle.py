@@ -666,6 +666,24 @@ ORACLE["reconcile_submissions"] = (
     + """SELECT submission_id, scenario, status, confidence, l_id AS best_match_invoice_id
 FROM laddered"""
 )
+ORACLE["reconcile_doubtful"] = (
+    _with(
+        *INVOICES,
+        MISREAD.replace("misread AS", "readable AS", 1),
+        """misread AS (
+  SELECT * REPLACE (
+    CASE WHEN k % 2 = 0 THEN replace(invoice_id, 'INV-', 'INV-9') ELSE invoice_id END AS invoice_id,
+    CASE WHEN k % 3 = 0 THEN CAST(invoice_date + INTERVAL 1 DAY AS DATE) ELSE invoice_date END
+      AS invoice_date,
+    CASE WHEN k % 8 = 0 THEN 'MYR' ELSE currency END AS currency,
+    CASE WHEN k % 8 = 0 THEN quantity + 50 ELSE quantity END AS quantity,
+    CASE WHEN k % 8 = 0 THEN (round(amount * 100) + 123450) / 100 ELSE amount END AS amount,
+    CASE WHEN k % 16 = 0 THEN 1.75::DOUBLE ELSE fx_rate END AS fx_rate) FROM readable)""",
+        REPAIRED, POOL, _search("repaired", 3), PROMOTED, _ladder("repaired"),
+    )
+    + """SELECT submission_id, scenario, status, confidence, l_id AS best_match_invoice_id
+FROM laddered"""
+)
 ORACLE["duplicate_lookup"] = (
     _with(EVENT_HISTORY)
     + """SELECT invoice_id, vendor, audit_event_id, run_id FROM (

@@ -430,6 +430,13 @@ def reconcile_submissions(spark, folder):
     return _decided(results)
 
 
+@query
+def reconcile_doubtful(spark, folder):
+    """The whole matcher where ids, dates and more are wrong: every rule of the ladder decides rows."""
+    results = reconcile.reconcile(I.doubtful_misread(spark, folder), V.ledger(spark, folder))
+    return _decided(results)
+
+
 @query
 def duplicate_lookup(spark, folder):
     known = duplicates.latest_success(I.event_history(spark, folder), ["invoice_id", "vendor"])
