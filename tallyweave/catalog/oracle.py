@@ -342,6 +342,20 @@ def _ladder(source: str) -> str:
     return LADDER.replace("{source}", source)
 
 
+#: Misread submissions that also lose their id, date, or several fields at once.
+DOUBTFUL = (
+    MISREAD.replace("misread AS", "readable AS", 1),
+    """misread AS (
+  SELECT * REPLACE (
+    CASE WHEN k % 2 = 0 THEN replace(invoice_id, 'INV-', 'INV-9') ELSE invoice_id END AS invoice_id,
+    CASE WHEN k % 3 = 0 THEN CAST(invoice_date + INTERVAL 1 DAY AS DATE) ELSE invoice_date END
+      AS invoice_date,
+    CASE WHEN k % 8 = 0 THEN 'MYR' ELSE currency END AS currency,
+    CASE WHEN k % 8 = 0 THEN quantity + 50 ELSE quantity END AS quantity,
+    CASE WHEN k % 8 = 0 THEN (round(amount * 100) + 123450) / 100 ELSE amount END AS amount,
+    CASE WHEN k % 16 = 0 THEN 1.75::DOUBLE ELSE fx_rate END AS fx_rate) FROM readable)""",
+)
+
 CHECKED = """checked AS (
   SELECT s.submission_id, s.scenario, TRUE AS ok_invoice_id, TRUE AS ok_invoice_date,
     TRUE AS ok_vendor, abs(m.amount - s.amount) <= 0.02 AS ok_amount, TRUE AS ok_currency,
@@ -551,6 +565,15 @@ ORACLE["compare_fields"] = (
     _with(*INVOICES, MISREAD, CHECKED)
     + f"SELECT submission_id, {', '.join(f'ok_{f}' for f in FIELDS)} FROM checked"
 )
+ORACLE["compare_doubtful"] = (
+    _with(*INVOICES, *DOUBTFUL)
+    + """SELECT m.submission_id, m.invoice_id = s.invoice_id AS ok_invoice_id,
+  m.k % 9 <> 1 AS ok_vendor, m.invoice_date = s.invoice_date AS ok_invoice_date,
+  m.k % 25 <> 0 AND abs(m.amount - s.amount) <= 0.02 AS ok_amount,
+  m.currency = s.currency AS ok_currency, m.quantity = s.quantity AS ok_quantity,
+  abs(m.fx_rate - s.fx_rate) <= 0.0001 AS ok_fx_rate
+FROM misread m JOIN subs s USING (submission_id)"""
+)
 ORACLE["field_fallback"] = (
     _with(*INVOICES)
     + """SELECT submission_id,
@@ -669,16 +692,7 @@ FROM laddered"""
 ORACLE["reconcile_doubtful"] = (
     _with(
         *INVOICES,
-        MISREAD.replace("misread AS", "readable AS", 1),
-        """misread AS (
-  SELECT * REPLACE (
-    CASE WHEN k % 2 = 0 THEN replace(invoice_id, 'INV-', 'INV-9') ELSE invoice_id END AS invoice_id,
-    CASE WHEN k % 3 = 0 THEN CAST(invoice_date + INTERVAL 1 DAY AS DATE) ELSE invoice_date END
-      AS invoice_date,
-    CASE WHEN k % 8 = 0 THEN 'MYR' ELSE currency END AS currency,
-    CASE WHEN k % 8 = 0 THEN quantity + 50 ELSE quantity END AS quantity,
-    CASE WHEN k % 8 = 0 THEN (round(amount * 100) + 123450) / 100 ELSE amount END AS amount,
-    CASE WHEN k % 16 = 0 THEN 1.75::DOUBLE ELSE fx_rate END AS fx_rate) FROM readable)""",
+        *DOUBTFUL,
         REPAIRED, POOL, _search("repaired", 3), PROMOTED, _ladder("repaired"),
     )
     + """SELECT submission_id, scenario, status, confidence, l_id AS best_match_invoice_id

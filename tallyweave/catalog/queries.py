@@ -237,6 +237,23 @@ def compare_fields(spark, folder):
     return _checks(spark, folder).select("submission_id", *FLAGS)
 
 
+@query
+def compare_doubtful(spark, folder):
+    """Fields compared where every one of them is wrong, absent or written otherwise now and then."""
+    key = I.order_key()
+    vendor = F.col("vendor")
+    read = I.doubtful_misread(spark, folder).withColumns(
+        {
+            "vendor": F.when(key % 9 == 0, F.concat(F.lit("  "), F.upper(vendor)))
+            .when(key % 9 == 1, F.concat(vendor, F.lit("x")))
+            .otherwise(vendor),
+            "amount": F.when(key % 25 != 0, F.col("amount")),
+        }
+    )
+    checks = evaluate.extraction_checks(read, V.submissions(spark, folder), True)
+    return checks.select("submission_id", *FLAGS)
+
+
 @query
 def field_fallback(spark, folder):
     primary = I.doubtful_records(spark, folder)
