@@ -9,8 +9,9 @@ count, S and D: words and distinct words of the class in the training texts; a
 word never seen has c = 0, as in the usual unigram baseline).
 
 The gated recurrent units are trained by truncated backpropagation: each
-partition trains a copy on one stretch from every one of its training documents, the state
-carried from window to window, and copies are averaged, in groups of a fixed
+partition trains a copy on every window of its training documents, the state
+carried from window to window and a lane taking the next document when its own
+ends; each document is learned from once, in one of the rounds, and copies are averaged, in groups of a fixed
 size, between rounds.  Scoring carries the state across windows through the
 whole of each document.
 
@@ -29,7 +30,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,7 @@ class Settings:
     longest: int = 64
     units: int = 16
     window: int = 32
+    #: Without effect: whole texts are learned from.
     stretch: int = 64
     lanes: int = 128
     rounds: int = 2
@@ -274,20 +276,30 @@ class Trainer:
         self.n = {k: np.zeros_like(x) for k, x in self.p.items()}
         self.tokens = 0
 
-    def train(self, stretches: list[np.ndarray]) -> None:
-        """Stretches are places in the vocabulary, or -1 - tail class; lanes shorter than others idle at their end."""
-        longest = max(map(len, stretches))
-        lengths = np.array(list(map(len, stretches)))
-        ids = np.zeros((longest, len(stretches)), np.int64)
-        for k, x in enumerate(stretches):
-            ids[: len(x), k] = x
-        live = np.arange(longest)[:, None] < lengths[None, :]
-        rows, classes, spots = places_of(self.v, ids)
-        h = np.zeros((len(stretches), self.s.units), np.float32)
-        for a in range(0, longest, self.s.window):
-            part = slice(a, a + self.s.window)
-            h = self.window(h, rows[part], classes[part], spots[part], live[part])
-        self.tokens += int(lengths.sum())
+    def learn(self, texts: Iterator[np.ndarray]) -> None:
+        """All windows of all texts, given as places in the vocabulary, or -1 - tail class.
+
+        A lane takes the next text when its own has ended; until its window is over it idles.
+        """
+        held: list[list] = []
+        h = np.zeros((0, self.s.units), np.float32)
+        while True:
+            going = np.array([k for k, (ids, at) in enumerate(held) if at < len(ids)], int)
+            held, h = [held[k] for k in going], h[going]
+            new = [[ids, 0] for ids in islice(texts, self.s.lanes - len(held))]
+            held += new
+            if not held:
+                return
+            h = np.concatenate([h, np.zeros((len(new), self.s.units), np.float32)])
+            parts = [ids[at : at + self.s.window] for ids, at in held]
+            lengths = np.array(list(map(len, parts)))
+            block = np.zeros((lengths.max(), len(parts)), np.int64)
+            for k, x in enumerate(parts):
+                block[: len(x), k] = x
+                held[k][1] += len(x)
+            live = np.arange(len(block))[:, None] < lengths[None, :]
+            h = self.window(h, *places_of(self.v, block), live)
+            self.tokens += int(lengths.sum())
 
     def window(self, h, rows, classes, spots, live):
         p, units = self.p, self.s.units
@@ -369,20 +381,16 @@ def train(training: DataFrame, v: Vocabulary, s: Settings, fan_in: int = 32) ->
             v = vocabulary.value
             number = {w: k for k, w in enumerate(v.words)}
             trainer = Trainer(start.value, v, s, rate)
-            waiting: list[np.ndarray] = []
             copy = 0
-            for batch in batches:
-                for text, at in zip(batch.column("text"), batch.column("at").to_pylist(), strict=True):
-                    words = words_of(text.as_py())
-                    first = at % max(1, len(words) + 2 - s.stretch)
-                    ids, _ = ids_of(words[first : first + s.stretch], number, v)
-                    waiting.append(ids[: s.stretch] if first + s.stretch < len(words) + 1 else ids)
-                    copy = copy or at
-                    if len(waiting) == s.lanes:
-                        trainer.train(waiting)
-                        waiting = []
-            if waiting:
-                trainer.train(waiting)
+
+            def texts() -> Iterator[np.ndarray]:
+                nonlocal copy
+                for batch in batches:
+                    for text, at in zip(batch.column("text"), batch.column("at").to_pylist(), strict=True):
+                        copy = copy or at
+                        yield ids_of(words_of(text.as_py()), number, v)[0]
+
+            trainer.learn(texts())
             if trainer.tokens:
                 yield _packed(copy, trainer.tokens, trainer.p)
 
