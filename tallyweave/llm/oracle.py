@@ -147,10 +147,111 @@ FROM s{last}
 """
 
 
+def _levels(name: str, leaves: str, rounds: int) -> str:
+    """Nodes n and folded leaves f of each level above ``leaves`` (s, i, n, d, f, ...)."""
+    steps = [f"{name}n0 AS MATERIALIZED (SELECT s, i, n, d FROM {leaves})", f"{name}f0 AS (SELECT *, '' AS proof FROM {leaves})"]
+    left, right = "array_to_string(g.g[1 : f.i % 3], '')", "array_to_string(g.g[f.i % 3 + 2 :], '')"
+    for k in range(rounds):
+        steps.append(
+            f"{name}n{k + 1} AS MATERIALIZED (SELECT s, i // 3 AS i, (n + 2) // 3 AS n, list(d ORDER BY i) AS g, "
+            f"CASE WHEN n = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}n{k} GROUP BY s, i // 3, n)"
+        )
+        steps.append(
+            f"{name}f{k + 1} AS (SELECT f.* REPLACE (f.i // 3 AS i, g.n AS n, f.proof || {left} || {right} AS proof, "
+            f"CASE WHEN f.n = 1 THEN f.f ELSE sha256({left} || f.f || {right}) END AS f) "
+            f"FROM {name}f{k} f JOIN {name}n{k + 1} g ON g.s IS NOT DISTINCT FROM f.s AND g.i = f.i // 3)"
+        )
+    return ",\n".join(steps)
+
+
+def _merkle(rounds: int = 14, top_rounds: int = 6) -> str:
+    """Enough levels for 3**14 rows of a source and 3**6 sources."""
+
+    def framed(x: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+
+    ahead = " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars")))
+    return rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+row_digests AS (
+  SELECT doc_id, source AS s, sha256({ahead} || {framed("text")}) AS d,
+    sha256({ahead} || {framed("replace(text, chr(10), '')")}) AS c,
+    list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)) AS inverted_crc
+  FROM documents, crc),
+leaf AS MATERIALIZED (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, d) - 1 AS i,
+    count(*) OVER (PARTITION BY s) AS n, d, CASE WHEN inverted_crc % 2 = 1 THEN c ELSE d END AS f
+  FROM row_digests),
+{_levels("a", "leaf", rounds)},
+subs AS MATERIALIZED (
+  SELECT 0 AS s, s AS source, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i, count(*) OVER () AS n, d, d AS f FROM an{rounds}),
+{_levels("b", "subs", top_rounds)},
+-- Folding goes on from each leaf's own subroot.
+joined AS MATERIALIZED (
+  SELECT l.doc_id, l.d AS leaf, l.proof AS below, l.f, 0 AS s, u.source, u.i, u.n, u.d FROM af{rounds} l
+  JOIN subs u ON u.source IS NOT DISTINCT FROM l.s),
+{_levels("c", "joined", 0)},
+{_folds("c", "b", top_rounds)},
+root AS (SELECT d AS root FROM bn{top_rounds})
+SELECT doc_id, leaf, x.d AS subroot, root, sha256(below || proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM cf{top_rounds} x, root
+"""
+
+
+def _folds(name: str, nodes: str, rounds: int) -> str:
+    """Folded rows f of each level above ``name``f0, with the nodes of another name."""
+    left, right = "array_to_string(g.g[1 : f.i % 3], '')", "array_to_string(g.g[f.i % 3 + 2 :], '')"
+    return ",\n".join(
+        f"{name}f{k + 1} AS (SELECT f.* REPLACE (f.i // 3 AS i, g.n AS n, f.proof || {left} || {right} AS proof, "
+        f"CASE WHEN f.n = 1 THEN f.f ELSE sha256({left} || f.f || {right}) END AS f) "
+        f"FROM {name}f{k} f JOIN {nodes}n{k + 1} g ON g.s IS NOT DISTINCT FROM f.s AND g.i = f.i // 3)"
+        for k in range(rounds)
+    )
+
+
+def _product_codes(rounds: int = 6) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"d{k} AS (SELECT r, part, e, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN b{k} b USING (part, pos) GROUP BY r, part, e), "
+            f"a{k} AS MATERIALIZED (SELECT r, part, e, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, e) = 1)"
+        )
+        if k < rounds:
+            steps.append(
+                f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, b.pos, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN ("
+                f"SELECT part, e, pos, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x "
+                f"FROM v JOIN a{k} USING (r, part) GROUP BY part, e, pos) m USING (part, e, pos))"
+            )
+    steps_text = ",\n".join(steps)
+    return f"""
+WITH usable AS (
+  SELECT vec_id, embedding, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 8 = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+  SELECT r, len(embedding) // 8 AS w, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM usable
+  WHERE len(embedding) = (SELECT len(embedding) FROM usable WHERE r = 1)),
+v AS MATERIALIZED (SELECT r, k // w AS part, k % w AS pos, CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT) AS x FROM c),
+b0 AS MATERIALIZED (
+  SELECT part, dense_rank() OVER (ORDER BY r) - 1 AS e, pos, x FROM v
+  WHERE r IN (SELECT DISTINCT r FROM v ORDER BY r LIMIT 16)),
+{steps_text},
+book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, e, pos)) AS h FROM b{rounds}),
+o AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM o JOIN usable USING (r), book
+"""
+
+
 ORACLE = {
     "op2_warc": _WARC,
     "op5_decontamination": _DECONTAMINATION,
     "op6_chat": _CHAT,
     "op7_licenses": _licenses(),
     "op10_quality": _QUALITY,
+    "op12_merkle": _merkle(),
+    "op13_product_codes": _product_codes(),
 }

@@ -16,6 +16,8 @@ from tallyweave.llm import (
     decontamination,
     gated_lm,
     licenses,
+    merkle,
+    product_codes,
     quality,
     sharding,
     simhash,
@@ -199,3 +201,15 @@ def op10_quality(spark, folder):
         "kept",
         F.col("failed").alias("failed_rules"),
     )
+
+
+@query
+def op12_merkle(spark, folder):
+    """All documents as leaves under their sources; proofs, and roots folded from tampered texts."""
+    return merkle.verify(read(spark, folder, "documents"))
+
+
+@query
+def op13_product_codes(spark, folder):
+    """All vectors as codes of eight parts, learned from all of them."""
+    return product_codes.report(read(spark, folder, "embeddings"))
