@@ -19,6 +19,7 @@ from tallyweave.llm import (
     merkle,
     product_codes,
     quality,
+    run_index,
     sharding,
     simhash,
     toxicity,
@@ -203,6 +204,12 @@ def op10_quality(spark, folder):
     )
 
 
+@query
+def op11_run_index(spark, folder):
+    """All documents without the bytes of long strings that stand anywhere else, too."""
+    return run_index.report(read(spark, folder, "documents"))
+
+
 @query
 def op12_merkle(spark, folder):
     """All documents as leaves under their sources; proofs, and roots folded from tampered texts."""
