@@ -10,9 +10,10 @@ word never seen has c = 0, as in the usual unigram baseline).
 
 The gated recurrent units are trained by truncated backpropagation: each
 partition trains a copy on every window of its training documents, the state
-carried from window to window and a lane taking the next document when its own
+carried from window to window and a lane taking the next stretch of a document when its own
 ends; each document is learned from once, in one of the rounds, and copies are averaged, in groups of a fixed
-size, between rounds.  Scoring carries the state across windows through the
+size, between rounds.  Gradients wait until a fixed number of tokens has been
+seen before they make a step.  Scoring carries the state across windows through the
 whole of each document.
 
 Broadcast are the ``known`` most frequent words with their counts (words of at most
@@ -20,8 +21,10 @@ Broadcast are the ``known`` most frequent words with their counts (words of at m
 are looked up in the table of counts by a join.
 
 Defined results: a NULL text is empty and scored as its end alone; a document without
-an id is held out; rows may repeat; without any training document every count
-is 0; other columns are ignored.
+an id is held out; rows may repeat; very long texts are scored whole, in one lane,
+and learned from in stretches; without any training document every count
+is 0; an empty table gives no rows; other columns are ignored.  Scores depend on how the
+table is partitioned, as each partition trains a copy; the base columns do not.
 """
 
 from __future__ import annotations
@@ -53,13 +56,18 @@ class Settings:
     known: int = 400_000
     longest: int = 64
     units: int = 16
-    window: int = 32
-    #: Without effect: whole texts are learned from.
-    stretch: int = 64
-    lanes: int = 128
+    window: int = 16
+    #: Words of a training text that one lane takes; the rest of a longer one begins anew in another lane,
+    #: or lanes would stand idle while the last long texts go on.
+    stretch: int = 256
+    lanes: int = 256
+    #: Live tokens whose gradients make a step, so that a partition's last long texts take no steps of their own.
+    tokens_a_step: int = 2048
     rounds: int = 2
     rates: tuple[float, ...] = (0.01, 0.004)
-    score_lanes: int = 2048
+    #: Texts that are scored side by side, and their bytes.
+    score_lanes: int = 8192
+    score_bytes: int = 32_000_000
     seed: int = 3
 
 
@@ -210,8 +218,12 @@ def start_parameters(v: Vocabulary, s: Settings) -> dict[str, np.ndarray]:
 
 def step(p: dict[str, np.ndarray], h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, tuple]:
     """One token: the state after it, and what the way back needs."""
+    return gated(p, h, p["inputs"][rows])
+
+
+def gated(p: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """As ``step``, from input rows (overwritten)."""
     units = h.shape[1]
-    x = p["inputs"][rows]
     u = h @ p["units"]
     gates = x[:, : 2 * units]
     gates += u[:, : 2 * units]
@@ -227,42 +239,57 @@ def step(p: dict[str, np.ndarray], h: np.ndarray, rows: np.ndarray) -> tuple[np.
     return n + z * (h - n), (h, u[:, 2 * units :], r, z, n)
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def softmax(logits: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(natural log of the share of column ``at``, all shares) of each row; overwrites ``logits``."""
+    rows = np.arange(len(logits))
+    if not safe:
+        logits -= logits.max(axis=1, keepdims=True)
+    own = logits[rows, at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits /= total[:, None]
+    return own - np.log(total), logits
+
+
+def safe_output(p: dict) -> bool:
+    """Whether no output can be so large that its exp() overflows: states lie within -1 and 1."""
+    pairs = (p["class_w"], p["class_b"]), (p["word_w"], p["word_b"])
+    return max((np.abs(w).sum(0) + np.abs(b)).max() for w, b in pairs) < 80
 
 
 def output_logs(p: dict, v: Vocabulary, states: np.ndarray, classes: np.ndarray, spots: np.ndarray,
                 grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log of class and head-word probability of each token; with ``grads``, adds to
     them and also returns the gradient of the states."""
-    rows = np.arange(len(states))
-    logs = log_softmax(states @ p["class_w"] + p["class_b"])
-    out = logs[rows, classes].astype(np.float64)
+    rows, safe = np.arange(len(states)), safe_output(p)
+    logs, d = softmax(states @ p["class_w"] + p["class_b"], classes, safe)
+    out = logs.astype(np.float64)
     back = None
     if grads is not None:
-        d = np.exp(logs)
         d[rows, classes] -= 1
         grads["class_w"] += states.T @ d
         grads["class_b"] += d.sum(0)
         back = d @ p["class_w"].T
-    order = np.argsort(np.where(spots >= 0, classes, v.head_classes), kind="stable")
-    starts = np.searchsorted(np.where(spots >= 0, classes, v.head_classes)[order], np.arange(v.head_classes + 1))
+    head = np.where(spots >= 0, classes, v.head_classes)
+    order = np.argsort(head, kind="stable")
+    starts = np.searchsorted(head[order], np.arange(v.head_classes + 1))
+    inside, places = states[order], spots[order]
+    behind = np.zeros_like(inside)
     for k in range(v.head_classes):
-        some = order[starts[k] : starts[k + 1]]
-        if not len(some):
+        own = slice(starts[k], starts[k + 1])
+        if starts[k] == starts[k + 1]:
             continue
         a, b = v.bounds[k], v.bounds[k + 1]
-        logs = log_softmax(states[some] @ p["word_w"][:, a:b] + p["word_b"][a:b])
-        at = spots[some] - a
-        out[some] += logs[np.arange(len(some)), at]
+        at = places[own] - a
+        logs, d = softmax(inside[own] @ p["word_w"][:, a:b] + p["word_b"][a:b], at, safe)
+        out[order[own]] += logs
         if grads is not None:
-            d = np.exp(logs)
-            d[np.arange(len(some)), at] -= 1
-            grads["word_w"][:, a:b] += states[some].T @ d
+            d[np.arange(len(at)), at] -= 1
+            grads["word_w"][:, a:b] += inside[own].T @ d
             grads["word_b"][a:b] += d.sum(0)
-            back[some] += d @ p["word_w"][:, a:b].T
+            behind[own] = d @ p["word_w"][:, a:b].T
+    if grads is not None:
+        back[order] += behind
     return out, back
 
 
@@ -275,12 +302,14 @@ class Trainer:
         self.m = {k: np.zeros_like(x) for k, x in self.p.items()}
         self.n = {k: np.zeros_like(x) for k, x in self.p.items()}
         self.tokens = 0
+        self.grads, self.waiting = {k: np.zeros_like(x) for k, x in self.p.items()}, 0
 
     def learn(self, texts: Iterator[np.ndarray]) -> None:
         """All windows of all texts, given as places in the vocabulary, or -1 - tail class.
 
-        A lane takes the next text when its own has ended; until its window is over it idles.
+        A lane takes the next stretch of a text when its own has ended; until its window is over it idles.
         """
+        texts = (ids[a : a + self.s.stretch] for ids in texts for a in range(0, len(ids), self.s.stretch))
         held: list[list] = []
         h = np.zeros((0, self.s.units), np.float32)
         while True:
@@ -289,6 +318,7 @@ class Trainer:
             new = [[ids, 0] for ids in islice(texts, self.s.lanes - len(held))]
             held += new
             if not held:
+                self.update()
                 return
             h = np.concatenate([h, np.zeros((len(new), self.s.units), np.float32)])
             parts = [ids[at : at + self.s.window] for ids, at in held]
@@ -302,46 +332,58 @@ class Trainer:
             self.tokens += int(lengths.sum())
 
     def window(self, h, rows, classes, spots, live):
-        p, units = self.p, self.s.units
-        states, kept = [], []
+        p, units, grads = self.p, self.s.units, self.grads
+        x, states, kept = p["inputs"][rows], np.empty((*rows.shape, self.s.units), h.dtype), []
         for t in range(len(rows)):
-            states.append(h)
-            h, memory = step(p, h, rows[t])
+            states[t] = h
+            h, memory = gated(p, h, x[t])
             kept.append(memory)
-        grads = {k: np.zeros_like(x) for k, x in p.items()}
-        flat = np.concatenate(states)
-        use = live.ravel()
-        _, back = output_logs(p, self.v, flat[use], classes.ravel()[use], spots.ravel()[use], grads)
+        flat, use, full = states.reshape(-1, units), live.ravel(), live.all(axis=1)
         ahead = np.zeros_like(flat)
-        ahead[use] = back
-        ahead = ahead.reshape(len(rows), -1, units)
-        dx = np.zeros((len(rows), h.shape[0], 3 * units), np.float32)
-        dh = np.zeros_like(h)
+        _, ahead[use] = output_logs(p, self.v, flat[use], classes.ravel()[use], spots.ravel()[use], grads)
+        ahead = ahead.reshape(states.shape)
+        dx, du = np.empty((2, *rows.shape, 3 * units), h.dtype)
+        dh, turned = np.zeros_like(h), np.ascontiguousarray(p["units"].T)
         for t in range(len(rows) - 1, -1, -1):
             before, u, r, z, n = kept[t]
-            dh = np.where(live[t][:, None], dh, 0)
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            dx[t] = np.concatenate([dr, dz, dn], 1)
-            du = np.concatenate([dr, dz, dn * r], 1)
-            grads["units"] += before.T @ du
-            dh = dh * z + du @ p["units"].T + ahead[t]
+            if not full[t]:
+                dh *= live[t][:, None]
+            g, away = dx[t], 1 - z
+            dn = dh * away
+            dn *= 1 - n * n
+            g[:, 2 * units :] = dn
+            away *= z
+            away *= before - n
+            np.multiply(dh, away, out=g[:, units : 2 * units])
+            np.multiply(dn * u, r * (1 - r), out=g[:, :units])
+            du[t] = g
+            du[t, :, 2 * units :] *= r
+            dh = dh * z
+            dh += du[t] @ turned
+            dh += ahead[t]
+        grads["units"] += flat.T @ du.reshape(-1, 3 * units)
         order = np.argsort(rows.ravel(), kind="stable")
         sorted_rows = rows.ravel()[order]
         first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        grads["inputs"][sorted_rows[first]] = np.add.reduceat(dx.reshape(-1, 3 * units)[order], first)
-        self.update(grads, max(1, int(use.sum())))
+        grads["inputs"][sorted_rows[first]] += np.add.reduceat(dx.reshape(-1, 3 * units)[order], first)
+        self.waiting += int(use.sum())
+        if self.waiting >= self.s.tokens_a_step:
+            self.update()
         return h
 
-    def update(self, grads: dict, tokens: int) -> None:
+    def update(self) -> None:
+        """One step of Adam by the mean gradient of the tokens that wait for one."""
+        if not self.waiting:
+            return
         self.t += 1
         rate = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, g in grads.items():
-            g /= tokens
+        for k, g in self.grads.items():
+            g /= self.waiting
             self.m[k] += 0.1 * (g - self.m[k])
             self.n[k] += 0.001 * (g * g - self.n[k])
             self.p[k] -= rate * self.m[k] / (np.sqrt(self.n[k]) + 1e-8)
+            g[:] = 0
+        self.waiting = 0
 
 
 def places_of(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -450,11 +492,7 @@ class Scorer:
         self.p, self.v, self.s = p, v, s
         self.class_columns = np.ascontiguousarray(p["class_w"].T)
         self.word_columns = np.ascontiguousarray(p["word_w"].T)
-        # States lie within -1 and 1, so no output exceeds this.
-        reach = max(
-            (np.abs(w).sum(0) + np.abs(b)).max() for w, b in ((p["class_w"], p["class_b"]), (p["word_w"], p["word_b"]))
-        )
-        self.safe = reach < 80  # exp() stays finite without taking the largest off first
+        self.safe = safe_output(p)
 
     def log_sums(self, logits: np.ndarray) -> np.ndarray:
         """log of the sum of exp of each row; overwrites ``logits``."""
@@ -504,7 +542,7 @@ class Scorer:
                 h = h[:running]
                 for t in range(steps):
                     states[t] = h
-                    h = step(self.p, h, rows[t])[0]
+                    h = gated(self.p, h, self.p["inputs"][rows[t]])[0]
                 states, where = states.reshape(-1, s.units), at.ravel()
                 lane = np.broadcast_to(np.arange(running), live.shape).ravel()
                 if not live.all():
@@ -516,6 +554,17 @@ class Scorer:
         return out
 
 
+def slices(batch: pa.RecordBatch, s: Settings) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that are scored at once."""
+    size = np.cumsum([0, *(len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text"))])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(size, size[at] + s.score_bytes, side="right")) - 1
+        end = max(at + 1, min(end, at + s.score_lanes))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 SCORED = (
     "row bigint, {id}, n_tokens bigint, n_known bigint, base double, score double, "
     "rare array<struct<word:binary,n:bigint,class:int>>"
@@ -536,8 +585,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, params: dict, s: Se
         base_log = np.log10((v.counts + 0.5) / floor)
         scorer = Scorer(params, v, s)
         for batch in batches:
-            for at in range(0, batch.num_rows, s.score_lanes):
-                part = batch.slice(at, s.score_lanes)
+            for part in slices(batch, s):
                 texts, known, base, tails, rare = [], [], [], [], []
                 for text in part.column("text"):
                     words = words_of(text.as_py())

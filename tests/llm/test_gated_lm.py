@@ -1,5 +1,7 @@
-"""The language model learns from every word of every training text."""
+"""The language model learns from every word of every training text, and scores whole texts."""
 
+import math
+import random
 import zlib
 
 import numpy as np
@@ -26,7 +28,7 @@ def test_gates_see_all_training_words(spark, monkeypatch):
 
 
 def test_lanes_carry_the_state_through_texts_and_start_anew():
-    s = gated_lm.Settings(window=4, lanes=2)
+    s = gated_lm.Settings(window=4, lanes=2, stretch=50)
     texts = [np.arange(1, 12), np.array([0]), np.arange(20, 29), np.array([30, 31])]
     seen, done = {}, []
 
@@ -46,3 +48,72 @@ def test_lanes_carry_the_state_through_texts_and_start_anew():
     assert sorted(done) == sorted(np.concatenate(texts).tolist()) and trainer.tokens == len(done)
     assert sorted(seen[0]) == [[0], [1, 2, 3, 4], [20, 21, 22, 23], [30, 31]]
     assert sorted(seen[4]) == [[5, 6, 7, 8], [24, 25, 26, 27]] and sorted(seen[8]) == [[9, 10, 11], [28]]
+
+
+def small_vocabulary():
+    """Ten words in the head (classes of three, three and four), some tail words in two classes."""
+    counts = np.array([9, 8, 7, 6, 5, 4, 3, 2, 2, 1, 1, 1, 1])
+    return gated_lm.Vocabulary(
+        [b""] + [b"w%d" % k for k in range(12)], counts, int(counts.sum()), 13, np.r_[np.arange(10), 10, 11, 11],
+        np.r_[0, 0, 0, 1, 1, 1, 2, 2, 2, 2, 3, 4, 4], np.r_[np.arange(10), -1, -1, -1], np.zeros(13), {}, np.ones((2, 2)),
+        np.array([0, 3, 6, 10]), 10, 3, 2,
+    )
+
+
+def slow_score(p, v, ids):
+    """One token after the other, probability by probability."""
+    def logistic(x):
+        return 1 / (1 + math.exp(-x))
+
+    units, total = len(p["units"]), 0.0
+    h = [0.0] * units
+    for i in ids.tolist():
+        row, kind, spot = (int(x) for x in gated_lm.places_of(v, np.array(i)))
+        out = [sum(h[k] * p["class_w"][k, c] for k in range(units)) + p["class_b"][c] for c in range(p["class_w"].shape[1])]
+        total += out[kind] - math.log(sum(map(math.exp, out)))
+        if spot >= 0:
+            a, b = v.bounds[kind], v.bounds[kind + 1]
+            out = {w: sum(h[k] * p["word_w"][k, w] for k in range(units)) + p["word_b"][w] for w in range(a, b)}
+            total += out[spot] - math.log(sum(map(math.exp, out.values())))
+        u = [sum(h[k] * p["units"][k, j] for k in range(units)) for j in range(3 * units)]
+        x = p["inputs"][row]
+        r = [logistic(x[j] + u[j]) for j in range(units)]
+        z = [logistic(x[units + j] + u[units + j]) for j in range(units)]
+        n = [math.tanh(x[2 * units + j] + r[j] * u[2 * units + j]) for j in range(units)]
+        h = [n[j] + z[j] * (h[j] - n[j]) for j in range(units)]
+    return total / math.log(10)
+
+
+def test_scores_are_those_of_one_token_after_the_other():
+    rng, v = np.random.default_rng(3), small_vocabulary()
+    s = gated_lm.Settings(units=4, window=5, score_lanes=6)
+    p = {k: x + rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in gated_lm.start_parameters(v, s).items()}
+    texts = [np.r_[rng.integers(-2, 13, n), 0] for n in (0, 1, 4, 5, 6, 37, 2, 90, 11, 3)]
+    want = [slow_score(p, v, t) for t in texts]
+    assert np.allclose(gated_lm.Scorer(p, v, s).score(texts), want, rtol=1e-4)
+    # Outputs so large that exp() needs the largest taken off first.
+    p["word_w"] *= 60
+    assert not gated_lm.safe_output(p)
+    assert np.allclose(gated_lm.Scorer(p, v, s).score(texts), [slow_score(p, v, t) for t in texts], rtol=1e-3)
+
+
+def test_one_very_long_text_among_short_ones_does_not_spoil_the_model(spark):
+    rng = random.Random(8)
+    tongues = [[f"{kind}{k}x" for k in range(60)] for kind in "pqr"]
+    texts = [" ".join(rng.choices(tongues[k % 3], k=30)) for k in range(900)]
+    texts[400] = " ".join(rng.choices([f"z{k}" for k in range(500)], k=20_000))
+    assert zlib.crc32(b"400") % 5 != 1
+    settings = gated_lm.Settings(head=150, known=400, rates=(0.03, 0.01))
+    for parts in (1, 4):
+        rows = gated_lm.score_documents(documents(spark, texts).repartition(parts), settings=settings).collect()
+        held = [r for r in rows if r["held_out"]]
+        assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + len(held)
+
+
+def test_steps_wait_for_a_fixed_number_of_tokens():
+    v = small_vocabulary()
+    s = gated_lm.Settings(units=4, window=4, lanes=2, tokens_a_step=10)
+    trainer = gated_lm.Trainer(gated_lm.start_parameters(v, s), v, s, 0.1)
+    trainer.learn(iter([np.r_[np.ones(7, int), 0], np.array([2, 0]), np.r_[np.ones(12, int), 0]]))
+    # Windows of 6, 8, 4, 4 and 1 tokens, the second lane taking the third text: a step after two of them and one at the end.
+    assert trainer.tokens == 23 and trainer.t == 2 and trainer.waiting == 0
