@@ -122,17 +122,20 @@ def vendor_candidates(
     )
 
 
-def pool_pages(ledger: DataFrame, extra: list[str] | None = None, page_rows: int = 256) -> tuple[DataFrame, DataFrame]:
-    """All ledger rows of every vendor, in pages of about ``page_rows``, and the pages of each vendor.
+def pool_pages(
+    ledger: DataFrame, extra: list[str] | None = None, page_rows: int = 256, block: str = "vendor"
+) -> tuple[DataFrame, DataFrame]:
+    """All ledger rows of every ``block``, in pages of about ``page_rows``, and the pages of each block.
 
-    Returns (vendor, page, pool) and (vendor, pages).  Equal rows are folded
+    Returns (block, page, pool) and (block, pages).  Equal rows are folded
     into one entry with their number, so a page stays small whatever repeats,
     and a vendor that owns much of the ledger has many pages, not a large one.
     """
     extra = extra or []
-    pages = ledger.groupBy("vendor").agg(F.ceil(F.count("*") / page_rows).alias("pages"))
-    folded = ledger.groupBy(*S.RECORD_FIELDS, *extra).agg(F.count("*").alias("copies"))
-    placed = lookup(folded, pages, ["vendor"], "inner").withColumn(
+    keys = [*dict.fromkeys([block, *S.RECORD_FIELDS])]
+    pages = ledger.groupBy(block).agg(F.ceil(F.count("*") / page_rows).alias("pages"))
+    folded = ledger.groupBy(*keys, *extra).agg(F.count("*").alias("copies"))
+    placed = lookup(folded, pages, [block], "inner").withColumn(
         "page", F.pmod(F.xxhash64(*S.RECORD_FIELDS, *extra), F.col("pages"))
     )
     entry = F.struct(
@@ -142,20 +145,22 @@ def pool_pages(ledger: DataFrame, extra: list[str] | None = None, page_rows: int
         "copies",
         *extra,
     )
-    return placed.groupBy("vendor", "page").agg(F.collect_list(entry).alias("pool")), pages
+    return placed.groupBy(block, "page").agg(F.collect_list(entry).alias("pool")), pages
 
 
-def on_pages(rows: DataFrame, ledger: DataFrame, extra: list[str] | None = None, page_rows: int = 256) -> DataFrame:
-    """Each row once with every page of its vendor's ledger rows, as ``pool``.
+def on_pages(
+    rows: DataFrame, ledger: DataFrame, extra: list[str] | None = None, page_rows: int = 256, block: str = "vendor"
+) -> DataFrame:
+    """Each row once with every page of its block's ledger rows, as ``pool``.
 
-    Pages are looked up by (vendor, page): many rows of one vendor are shared
+    Pages are looked up by (block, page): many rows of one vendor are shared
     out among tasks, and no task holds more than one page at a time.
     """
-    pool, pages = pool_pages(ledger, extra, page_rows)
-    numbered = lookup(rows, pages, ["vendor"], "inner").withColumn(
+    pool, pages = pool_pages(ledger, extra, page_rows, block)
+    numbered = lookup(rows, pages, [block], "inner").withColumn(
         "page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pages") - 1))
     )
-    return lookup(numbered.drop("pages"), pool, ["vendor", "page"], "inner").drop("page")
+    return lookup(numbered.drop("pages"), pool, [block, "page"], "inner").drop("page")
 
 
 def search(
@@ -183,6 +188,26 @@ def search(
     described = ledger.withColumn("features", features(""))
     described_submissions = submissions.withColumn("_features", features(""))
     asked = described_submissions.select("vendor", "_features").distinct()
+    ranked = _best_of_pages(asked, described, top_k, similarity, page_rows, "vendor")
+    return lookup(described_submissions, ranked, ["vendor", "_features"]).drop("_features")
+
+
+def exhaustive(asked: DataFrame, ledger: DataFrame, top_k: int, page_rows: int = 256) -> DataFrame:
+    """(_features, candidates) for token sets compared with every row of the ledger, page by page."""
+    described = ledger.withColumns({"features": token_hashes(text_of("")), "_block": F.lit(0)})
+    everywhere = asked.select(F.lit(0).alias("_block"), "_features")
+    return _best_of_pages(everywhere, described, top_k, set_similarity, page_rows, "_block").drop("_block")
+
+
+def _best_of_pages(
+    asked: DataFrame,
+    described: DataFrame,
+    top_k: int,
+    similarity: Callable[[Column, Column], Column],
+    page_rows: int,
+    block: str,
+) -> DataFrame:
+    """(block, _features, candidates) of distinct ``asked`` rows (block, _features)."""
     scored = F.transform(
         "pool",
         lambda entry: F.struct(
@@ -200,15 +225,17 @@ def search(
             best, lambda e: F.array_repeat(e, F.least(e["copies"], F.lit(top_k)).cast("int"))
         )
     )
-    found = on_pages(asked, described, ["features"], page_rows).select(
-        "vendor", "_features", F.explode(F.slice(each, 1, top_k)).alias("e")
+    found = on_pages(asked, described, ["features"], page_rows, block).select(
+        block, "_features", F.explode(F.slice(each, 1, top_k)).alias("e")
     )
-    order = Window.partitionBy("vendor", "_features").orderBy("e.distance", *[f"e.{n}" for n in POOL_ORDER])
-    ranked = (
+    order = Window.partitionBy(block, "_features").orderBy(
+        "e.distance", *[f"e.{n}" for n in POOL_ORDER], "e.record.vendor"
+    )
+    return (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= top_k)
         .select(
-            "vendor",
+            block,
             "_features",
             F.struct(
                 "rank",
@@ -217,10 +244,9 @@ def search(
                 F.col("e.norm_id").alias("norm_id"),
             ).alias("c"),
         )
-        .groupBy("vendor", "_features")
+        .groupBy(block, "_features")
         .agg(F.array_sort(F.collect_list("c")).alias("candidates"))
     )
-    return lookup(described_submissions, ranked, ["vendor", "_features"]).drop("_features")
 
 
 def promote_identity(

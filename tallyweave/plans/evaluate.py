@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
-from tallyweave.operators.candidates import search
 from tallyweave.operators.classify import classify
 from tallyweave.operators.duplicates import flag_later_copies
 from tallyweave.operators.evaluation import stateless_expectation, stratified_split
 from tallyweave.operators.extraction import extract_fields
+from tallyweave.operators.retrieval import search_ledger
 from tallyweave.operators.validation import field_matches
 from tallyweave.plans.reconcile import reconcile, reconcile_by_id
 from tallyweave.session import cut_lineage
@@ -33,8 +33,8 @@ def rules_only(submissions: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def with_retrieval(submissions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Cases decided on their true fields by search and ladder alone: no id lookup, repair or promotion."""
-    return _cases(classify(search(submissions, ledger, S.EVALUATION_TOP_K)))
+    """Cases decided on their true fields by a search of the whole ledger and the ladder: no id lookup, repair or promotion."""
+    return _cases(classify(search_ledger(submissions, ledger, S.EVALUATION_TOP_K)))
 
 
 def extracted_submissions(documents: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def extracted_submissions(documents: DataFrame) -> DataFrame:
 
 def end_to_end(documents: DataFrame, ledger: DataFrame) -> DataFrame:
     """Cases decided on fields read from the documents."""
-    return _cases(reconcile(extracted_submissions(documents), ledger, S.EVALUATION_TOP_K))
+    return _cases(reconcile(extracted_submissions(documents), ledger, S.EVALUATION_TOP_K, find=search_ledger))
 
 
 def heldout(documents: DataFrame, ledger: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +22,19 @@ def reconcile(
     ledger: DataFrame,
     top_k: int = S.RUNTIME_TOP_K,
     threshold: float = S.MATCH_THRESHOLD,
+    find: Callable[[DataFrame, DataFrame, int], DataFrame] = search,
 ) -> DataFrame:
     """Decide every submission against the ledger.
 
-    Exact id first, then repair from that record, then similarity within the
-    vendor's pool, then the ladder.  Submissions are shuffled twice, by id and
-    by vendor; all else happens within the row.
+    Exact id first, then repair from that record, then similarity, then the
+    ladder.  ``find`` adds the similar records: ``candidates.search`` those of the
+    vendor, ``retrieval.search_ledger`` those of the whole ledger.
     """
     found = by_exact_id(submissions, ledger)
     identified = repair_fields(
         found.withColumn("identity", F.when(is_complete(), F.col("identity")))
     )
-    searched = search(identified, ledger, top_k)
+    searched = find(identified, ledger, top_k)
     return classify(promote_identity(searched), threshold=threshold)
 
 
