@@ -241,27 +241,28 @@ INVOICES = (LEDGER, VARIANTS, SUBS)
 RECORD = """invoice_id, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, vendor, amount,
   currency, quantity, fx_rate"""
 
-# Token-set similarity of record texts, and the best pool rows by the raw score.
-SEARCH = (
-    r"""described AS (
-  SELECT *, list_distinct(string_split(trim(regexp_replace(lower(concat(
+# Token sets of record texts.
+_TOKENS = r"""list_distinct(string_split(trim(regexp_replace(lower(concat(
       'vendor: ', vendor, ' | invoice id: ', invoice_id, ' | date: ', invoice_date,
       ' | amount: ', format('{:.2f}', amount), ' ', currency, ' | quantity: ', quantity,
       ' | fx rate: ', format('{:.4f}', fx_rate), ' | line items: []')),
-      '[^a-z0-9]+', ' ', 'g')), ' ')) AS toks
-  FROM {source}),
-pooled AS (
-  SELECT *, list_distinct(string_split(trim(regexp_replace(lower(concat(
-      'vendor: ', vendor, ' | invoice id: ', invoice_id, ' | date: ', invoice_date,
-      ' | amount: ', format('{:.2f}', amount), ' ', currency, ' | quantity: ', quantity,
-      ' | fx rate: ', format('{:.4f}', fx_rate), ' | line items: []')),
-      '[^a-z0-9]+', ' ', 'g')), ' ')) AS toks
-  FROM pool),
-scored AS (
-  SELECT d.submission_id, p.invoice_id AS l_id, p.pool_pos,
-    len(list_intersect(d.toks, p.toks)) / sqrt(len(d.toks) * len(p.toks)) AS raw
-  FROM described d JOIN pooled p ON p.vendor = d.vendor),
-retrieved AS (
+      '[^a-z0-9]+', ' ', 'g')), ' ')) AS toks"""
+
+# Similarity of token sets, and the best rows of the vendor by the raw score.  Tokens are
+# joined and counted, so that no list meets a list.
+SEARCH = (
+    f"""described AS MATERIALIZED (SELECT *, {_TOKENS} FROM {{source}}),
+pooled AS MATERIALIZED (SELECT *, {_TOKENS} FROM pool),
+spoken AS (SELECT submission_id, vendor, unnest(toks) AS t FROM described),
+written AS (SELECT k AS l_k, vendor, unnest(toks) AS t FROM pooled),
+common AS MATERIALIZED (
+  SELECT s.submission_id, w.l_k, count(*) AS n FROM spoken s JOIN written w USING (vendor, t)
+  GROUP BY s.submission_id, w.l_k),
+scored AS MATERIALIZED (
+  SELECT c.submission_id, p.invoice_id AS l_id, p.pool_pos, c.n / sqrt(len(d.toks) * len(p.toks)) AS raw
+  FROM common c JOIN described d USING (submission_id) JOIN pooled p ON p.k = c.l_k),
+"""
+    + """retrieved AS MATERIALIZED (
   SELECT *, """
     + _r("raw")
     + """ AS score FROM (
@@ -269,7 +270,53 @@ retrieved AS (
     FROM scored) WHERE rank <= {top_k})"""
 )
 
-PROMOTED = """promoted AS (
+#: The most frequent tokens are bits of so many words.
+_MASKS = 8
+_SET_BITS = ", ".join(f"coalesce(bit_or(1::BIGINT << (b % 62)) FILTER (WHERE b // 62 = {k}), 0) AS m{k}" for k in range(_MASKS))
+_SHARED_BITS = " + ".join(f"bit_count(q.m{k} & r.m{k})" for k in range(_MASKS))
+
+# The best of all ledger rows: every submission meets every row.  Frequent tokens are counted as
+# bits, for all pairs; the others by joining them.  Only pairs that reach the fifth best by bits
+# alone, or share another token, can be among the best.
+SEARCH_ALL = (
+    f"""described AS MATERIALIZED (SELECT *, {_TOKENS} FROM {{source}}),
+pooled AS MATERIALIZED (
+  SELECT *, {_TOKENS}, row_number() OVER (
+    ORDER BY invoice_id, invoice_date, amount, currency, quantity, fx_rate, vendor) AS pool_pos FROM ledger),
+spoken AS MATERIALIZED (SELECT submission_id, unnest(toks) AS t FROM described),
+written AS MATERIALIZED (SELECT pool_pos, unnest(toks) AS t FROM pooled),
+frequent AS MATERIALIZED (
+  SELECT t, row_number() OVER (ORDER BY count(*) DESC, t) - 1 AS b FROM written GROUP BY t),
+asked_bits AS MATERIALIZED (
+  SELECT submission_id, any_value(len(d.toks)) AS n, {_SET_BITS}
+  FROM spoken LEFT JOIN frequent f ON f.t = spoken.t AND b < {62 * _MASKS} JOIN described d USING (submission_id) GROUP BY submission_id),
+ledger_bits AS MATERIALIZED (
+  SELECT pool_pos, any_value(len(p.toks)) AS n, {_SET_BITS}
+  FROM written LEFT JOIN frequent f ON f.t = written.t AND b < {62 * _MASKS} JOIN pooled p USING (pool_pos) GROUP BY pool_pos),
+rare_pairs AS MATERIALIZED (
+  SELECT s.submission_id, w.pool_pos, count(*) AS c FROM spoken s JOIN written w ON w.t = s.t
+  JOIN frequent f ON f.t = s.t AND b >= {62 * _MASKS} GROUP BY s.submission_id, w.pool_pos),
+by_bits AS MATERIALIZED (
+  SELECT submission_id, list_min(max(({_SHARED_BITS}) / sqrt(q.n * r.n), {{top_k}})) AS least
+  FROM asked_bits q, ledger_bits r GROUP BY submission_id),
+bounded AS MATERIALIZED (SELECT q.*, least FROM asked_bits q JOIN by_bits USING (submission_id)),
+open_pairs AS MATERIALIZED (
+  SELECT q.submission_id, r.pool_pos FROM bounded q, ledger_bits r WHERE ({_SHARED_BITS}) / sqrt(q.n * r.n) >= least
+  UNION SELECT submission_id, pool_pos FROM rare_pairs),
+scored AS MATERIALIZED (
+  SELECT q.submission_id, p.invoice_id AS l_id, r.pool_pos, ({_SHARED_BITS} + coalesce(c, 0)) / sqrt(q.n * r.n) AS raw
+  FROM open_pairs o JOIN asked_bits q USING (submission_id) JOIN ledger_bits r USING (pool_pos)
+  JOIN pooled p USING (pool_pos) LEFT JOIN rare_pairs x USING (submission_id, pool_pos)),
+"""
+    + """retrieved AS MATERIALIZED (
+  SELECT *, """
+    + _r("raw")
+    + """ AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY raw DESC, pool_pos) AS rank
+    FROM scored) WHERE rank <= {top_k})"""
+)
+
+PROMOTED = """promoted AS MATERIALIZED (
   SELECT submission_id, CAST(row_number() OVER (PARTITION BY submission_id
            ORDER BY is_id DESC, rank) AS INTEGER) AS pos, CAST(rank AS INTEGER) AS rank,
          score, l_id
@@ -280,8 +327,8 @@ PROMOTED = """promoted AS (
     UNION ALL
     SELECT s.submission_id, 1, 1.0, l.invoice_id, 1
     FROM described s JOIN ledger l ON l.invoice_id = s.invoice_id
-    WHERE NOT EXISTS (SELECT 1 FROM retrieved r
-      WHERE r.submission_id = s.submission_id AND r.l_id = l.invoice_id)))"""
+    LEFT JOIN retrieved r ON r.submission_id = s.submission_id AND r.l_id = l.invoice_id
+    WHERE r.rank IS NULL))"""
 
 REPAIRED = """repaired AS (
   SELECT s.submission_id, s.k, s.scenario, s.invoice_id, s.invoice_date, s.vendor, s.currency,
@@ -338,6 +385,10 @@ def _search(source: str, top_k: int) -> str:
     return SEARCH.replace("{source}", source).replace("{top_k}", str(top_k))
 
 
+def _search_all(source: str, top_k: int) -> str:
+    return SEARCH_ALL.replace("{source}", source).replace("{top_k}", str(top_k))
+
+
 def _ladder(source: str) -> str:
     return LADDER.replace("{source}", source)
 
@@ -883,8 +934,7 @@ _EVAL = (
               BETWEEN 1 AND 3 THEN l.amount ELSE s.amount END AS amount,
     CASE WHEN s.quantity = 1 AND l.quantity > 1 THEN l.quantity ELSE s.quantity END AS quantity
   FROM subs s LEFT JOIN ledger l ON l.invoice_id = s.invoice_id)""",
-    POOL,
-    _search("repaired", 5),
+    _search_all("repaired", 5),
     PROMOTED,
     _ladder("repaired"),
     f"eval_cases AS (SELECT {STATELESS} AS expected, status AS predicted FROM laddered)",
@@ -892,8 +942,7 @@ _EVAL = (
 # Search and ladder alone: ranks are positions, nothing is promoted or repaired.
 _EVAL_RETRIEVAL = (
     *INVOICES,
-    POOL,
-    _search("subs", 5),
+    _search_all("subs", 5),
     "promoted AS (SELECT submission_id, rank AS pos, rank, score, l_id FROM retrieved)",
     _ladder("subs"),
     f"eval_cases AS (SELECT {STATELESS} AS expected, status AS predicted FROM laddered)",
