@@ -12,14 +12,13 @@ by blanks, and special tokens in a text are taken as such.
 
 Defined results: NULL is an empty text, an empty text has no ids and decodes to an empty
 one; very long words are encoded in time n log n; repeated rows are each
-encoded; other columns pass through.
+encoded; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from tokenizers import Tokenizer
 
 #: White space as the vocabulary's own pattern understands it.
 BLANK = r"[\t-\r\x20\x85\xa0  -     　]+"
@@ -41,18 +41,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
 
 
-def letters(kind: str) -> str:
-    """Ranges of the characters of a Unicode category, for use inside brackets."""
-    ranges: list[list[int]] = []
-    for code in range(0x110000):
-        if unicodedata.category(chr(code))[0] == kind:
-            if ranges and ranges[-1][1] == code - 1:
-                ranges[-1][1] = code
-            else:
-                ranges.append([code, code])
-    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges)
-
-
 class Vocabulary:
     """Merges, ids and certain cuts of a vocabulary file."""
 
@@ -67,12 +55,9 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(
-            split["pattern"]["Regex"]
-            .replace(r"\s", BLANK[1:-2])
-            .replace(r"\p{L}", letters("L"))
-            .replace(r"\p{N}", letters("N"))
-        )
+        self.words = regex.compile(split["pattern"]["Regex"])
+        # Normalising and the classes of letters beyond ASCII follow the library's own tables of characters.
+        self.rules = Tokenizer.from_file(path)
         self.symbols = byte_symbols()
         self.size = max(self.tokens, default=-1) + 1
         self.joined = self.joinable()
@@ -89,10 +74,16 @@ class Vocabulary:
         made = {a + b for a, b in self.ranks}
         return {pair for token in made for s in [self.spelled(token)] for pair in zip(s, s[1:], strict=False)}
 
-    def fragments(self, word: str) -> list[tuple[str, ...]]:
-        """Symbols of a word, cut where no token can lie across."""
-        symbols = list(map(self.symbols.__getitem__, word.encode("utf-8")))
-        symbols[-1] += self.mark
+    def spelled_words(self, piece: str) -> list[list[str]]:
+        """The words of a piece without white space, each as symbols of its bytes."""
+        if piece.isascii():
+            return [list(map(self.symbols.__getitem__, w.encode("ascii"))) for w in self.words.findall(piece.lower())]
+        plain = self.rules.normalizer.normalize_str(piece)
+        return [list(w) for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(plain)]
+
+    def fragments(self, symbols: list[str]) -> list[tuple[str, ...]]:
+        """A word's symbols, the last one marked, cut where no token can lie across."""
+        symbols = [*symbols[:-1], symbols[-1] + self.mark]
         joined = self.joined
         cuts = [k for k, pair in enumerate(zip(symbols, symbols[1:], strict=False), 1) if pair not in joined]
         if not cuts:
@@ -171,6 +162,7 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
         self.vocabulary = vocabulary
         self.pieces = Memory(self.piece, most)
+        self.shows = Memory(self.shown_piece, most)
         self.fragments = Memory(vocabulary.merge, most // 4)
         self.blanks = regex.compile(BLANK)
         special = sorted(vocabulary.special, key=len, reverse=True)
@@ -178,34 +170,55 @@ class Codec:
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece without white space; normalising and finding words never look across a blank."""
-        plain = piece
-        if not piece.isascii():
-            plain = unicodedata.normalize("NFC", piece)
-        # Letter by letter: in a whole word a final sigma would change its form.
-        plain = plain.lower() if "\u03a3" not in plain else "".join(map(str.lower, plain))
         ids: list[int] = []
-        for word in self.vocabulary.words.findall(plain):
+        for word in self.vocabulary.spelled_words(piece):
             for symbols in self.vocabulary.fragments(word):
                 ids += self.fragments[symbols]
         return tuple(ids)
 
-    def ordinary(self, text: str) -> list[int]:
+    def shown_piece(self, piece: str) -> tuple[int, str, str]:
+        """Number of ids of a piece, the ids in decimal, and what they decode to."""
+        ids = self.piece(piece)
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces between white space."""
         if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            pieces = text.split()
-        else:
-            pieces = filter(None, self.blanks.split(text))
-        return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
+            return text.split()
+        return list(filter(None, self.blanks.split(text)))
+
+    def ordinary(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.cut(text))))
+
+    def parts(self, text: str) -> list[str]:
+        """Special tokens and the stretches between them."""
+        if self.specials is None or not self.specials.search(text):
+            return [text]
+        return list(filter(None, self.specials.split(text)))
+
+    def shown(self, text: str | None) -> tuple[int, str, str]:
+        """As ``encode`` and ``decode``: number of ids, the ids in decimal joined by blanks, and the decoded text.
+
+        Pieces are remembered as they are shown, so a text is three joins over its pieces.
+        """
+        found: list[tuple[int, str, str]] = []
+        for part in self.parts(text or ""):
+            if part in self.vocabulary.special:
+                found.append((1, str(self.vocabulary.special[part]), part))
+            else:
+                found += map(self.shows.__getitem__, self.cut(part))
+        if not found:
+            return 0, "", ""
+        counts, ids, decoded = zip(*found, strict=True)
+        return sum(counts), " ".join(filter(None, ids)), " ".join(filter(None, decoded))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; special tokens are taken where they stand."""
-        text = text or ""
-        if self.specials is None or not self.specials.search(text):
-            return self.ordinary(text)
         ids: list[int] = []
-        for part in self.specials.split(text):
+        for part in self.parts(text or ""):
             if part in self.vocabulary.special:
                 ids.append(self.vocabulary.special[part])
-            elif part:
+            else:
                 ids += self.ordinary(part)
         return ids
 

@@ -156,14 +156,13 @@ def op8_bpe(spark, folder):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe.codec(path)
-        decimal = list(map(str, range(codec.vocabulary.size)))
         for batch in batches:
             counts, id_digests, text_digests = [], [], []
             for text in batch.column("text"):
-                ids = codec.encode(text.as_py())
-                counts.append(len(ids))
-                id_digests.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                text_digests.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                n, ids, decoded = codec.shown(text.as_py())
+                counts.append(n)
+                id_digests.append(hashlib.sha256(ids.encode()).hexdigest())
+                text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_digests), pa.array(text_digests)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from tallyweave.llm.common import read, stored
 from tallyweave.llm.decontamination import Windows, benchmark_items
-from tests.llm.test_operators import slow_fingerprint
+from tests.llm.test_near_copies import slow_pairs
 
 
 def test_stages_decide_on_all_they_get(spark, sf_dir):
@@ -14,21 +14,12 @@ def test_stages_decide_on_all_they_get(spark, sf_dir):
         assert kept[-1].columns == columns
     ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
     assert all(b <= a for a, b in zip(ids, ids[1:], strict=False))
-    # Near copies: every document that left has a kept one within reach of its component.
-    prints = {r["doc_id"]: slow_fingerprint(r["text"]) for r in kept[2].select("doc_id", "text").collect()}
-    left, todo = {*prints}, []
-    roots = set()
-    while left:
-        first = min(left)
-        roots.add(first)
-        todo = [first]
-        left.discard(first)
-        while todo:
-            a = todo.pop()
-            near = {b for b in left if bin(prints[a] ^ prints[b]).count("1") <= 3}
-            left -= near
-            todo += near
-    assert ids[3] == roots
+    # Near copies: of each group linked by a five-word Jaccard of 0.8 or more the smallest id is left.
+    rows = sorted((r["doc_id"], r["text"]) for r in kept[2].select("doc_id", "text").collect())
+    label = list(range(len(rows)))
+    for a, b in sorted(slow_pairs([t for _, t in rows])) * 8:
+        label[a] = label[b] = min(label[a], label[b])
+    assert ids[3] == {rows[k][0] for k in label}
     windows = Windows(benchmark_items(read(spark, sf_dir, "benchmark")))
     assert ids[4] == {r["doc_id"] for r in kept[3].collect() if not windows.find(r["text"])[1]}
     last = corpus_pipeline.STAGES[-1][1](spark, kept[-1], sf_dir)
