@@ -612,6 +612,27 @@ ORACLE["identity_predicate"] = (
     AS same_identity
 FROM subs s JOIN pool p ON p.vendor = s.vendor GROUP BY s.submission_id"""
 )
+ORACLE["identity_counts"] = (
+    _with(*INVOICES, """asked AS (
+  SELECT submission_id, invoice_id, invoice_date,
+    CASE WHEN submission_id % 10 = 0 THEN 'someone else' ELSE lower(vendor) END AS vendor FROM subs),
+by_id AS (
+  SELECT a.submission_id, l.k FROM asked a JOIN ledger l ON l.invoice_id = a.invoice_id),
+by_vendor AS (
+  SELECT a.submission_id, l.k FROM asked a JOIN ledger l ON lower(l.vendor) = a.vendor AND l.invoice_date = a.invoice_date),
+either AS (SELECT * FROM by_id UNION SELECT * FROM by_vendor)""")
+    + """SELECT submission_id, coalesce(i, 0) AS same_id, coalesce(v, 0) AS same_vendor_date, coalesce(e, 0) AS same_identity
+FROM asked
+LEFT JOIN (SELECT submission_id, count(*) AS i FROM by_id GROUP BY submission_id) USING (submission_id)
+LEFT JOIN (SELECT submission_id, count(*) AS v FROM by_vendor GROUP BY submission_id) USING (submission_id)
+LEFT JOIN (SELECT submission_id, count(*) AS e FROM either GROUP BY submission_id) USING (submission_id)"""
+)
+ORACLE["report_read"] = (
+    _with(*INVOICES, DECIDED)
+    + f"""SELECT expected, count(*) AS cases, count(*) FILTER (WHERE expected = status) AS correct,
+  min(submission_id) AS first_case, CAST(1 AS DOUBLE) AS least_confidence
+FROM (SELECT *, {STATELESS} AS expected FROM decided) GROUP BY expected"""
+)
 ORACLE["compare_fields"] = (
     _with(*INVOICES, MISREAD, CHECKED)
     + f"SELECT submission_id, {', '.join(f'ok_{f}' for f in FIELDS)} FROM checked"

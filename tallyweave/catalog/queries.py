@@ -318,6 +318,44 @@ def _neighbours(spark, folder, k=S.RUNTIME_TOP_K):
     return nearest.nearest_neighbours(vectors, vectors, k, exclude_self=True)
 
 
+@query
+def identity_counts(spark, folder):
+    """How many of all ledger rows share a submission's identity, those of other vendors too."""
+    subs, ledger = I.pair(spark, folder)
+    # Some submissions name the id of another vendor's row.
+    other = F.col("submission_id") % 10 == 0
+    asked = subs.withColumn("vendor", F.when(other, F.lit("Someone else")).otherwise(F.concat(F.lit(" "), F.upper("vendor"))))
+    return candidates.identity_counts(asked, ledger).select("submission_id", "same_id", "same_vendor_date", "same_identity")
+
+
+@query
+def report_read(spark, folder):
+    """Case results written as reports of two shapes, read back without a schema and rolled up."""
+    cases = evaluate.rules_only(*I.pair(spark, folder))
+    flat = cases.select("submission_id", "expected", "predicted", "confidence")
+    nested = flat.select(
+        F.col("submission_id").cast("string").alias("case_id"),
+        F.struct("expected", "predicted").alias("labels"),
+        F.struct(F.col("confidence").alias("value")).alias("score"),
+    )
+    path = _scratch(spark, "reports")
+    tables.write_report(flat.where("submission_id % 4 < 2"), f"{path}/flat")
+    tables.write_report(nested.where("submission_id % 4 >= 2"), f"{path}/nested")
+    reports = tables.read_reports(spark, f"{path}/*")
+    read = reports.select(
+        tables.report_field(["$.submission_id", "$.case_id"], "bigint").alias("case_id"),
+        tables.report_field(["$.expected", "$.labels.expected"], "string").alias("expected"),
+        tables.report_field(["$.predicted", "$.labels.predicted"], "string").alias("predicted"),
+        tables.report_field(["$.confidence", "$.score.value"], "double").alias("confidence"),
+    )
+    return read.groupBy("expected").agg(
+        F.count("case_id").alias("cases"),
+        F.count_if(F.col("expected") == F.col("predicted")).alias("correct"),
+        F.min("case_id").alias("first_case"),
+        F.min("confidence").alias("least_confidence"),
+    )
+
+
 @query
 def knn_topk(spark, folder):
     """The three nearest vectors of every vector, over the whole pool."""

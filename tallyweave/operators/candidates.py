@@ -87,6 +87,30 @@ def by_identity(submissions: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def identity_counts(submissions: DataFrame, ledger: DataFrame) -> DataFrame:
+    """How many of all ledger rows share a submission's identity, whatever their vendor.
+
+    Adds ``same_id`` (equal id, not empty), ``same_vendor_date`` (equal vendor, case and
+    margin ignored, and date), and ``same_identity``, rows that are either: both
+    counts less the rows that are both.  Three counted keys are looked up; no
+    pairs are made, so a key that many rows share costs what its rows cost.
+    """
+    keyed = lambda df: df.withColumns(
+        {
+            "_id": F.when(F.col("invoice_id") != "", F.col("invoice_id")),
+            "_vendor": F.lower(strip(F.col("vendor"))),
+            "_date": F.col("invoice_date"),
+        }
+    )
+    rows, out = keyed(ledger), keyed(submissions)
+    ways = {"same_id": ["_id"], "same_vendor_date": ["_vendor", "_date"], "_both": ["_id", "_vendor", "_date"]}
+    for name, keys in ways.items():
+        counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(name))
+        out = lookup(out, counts, keys).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    out = out.withColumn("same_identity", F.col("same_id") + F.col("same_vendor_date") - F.col("_both"))
+    return out.drop("_id", "_vendor", "_date", "_both")
+
+
 def first_of_vendor(ledger: DataFrame, first: int) -> DataFrame:
     """The first ``first`` ledger rows of each vendor as one array, with their positions.
 

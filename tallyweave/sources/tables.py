@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
@@ -87,3 +87,19 @@ def append_rows(df: DataFrame, path: str) -> None:
 def write_report(df: DataFrame, path: str) -> None:
     """Cases, manifests and reports as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Report lines of whatever shape, as one VARIANT ``report`` each; ``broken`` lines are kept as they are.
+
+    Reports of different runs differ in their fields, so no schema is laid over them;
+    :func:`report_field` takes out what a reader needs.
+    """
+    lines = spark.read.text(path)
+    report = F.try_parse_json("value")
+    return lines.select(report.alias("report"), F.when(report.isNull(), F.col("value")).alias("broken"))
+
+
+def report_field(names: list[str], kind: str) -> Column:
+    """The first of some fields (paths such as ``$.a.b``) that a report has in readable form."""
+    return F.coalesce(*[F.try_variant_get("report", n, kind) for n in names])
