@@ -1,8 +1,10 @@
 """Reconciling a stream of submissions into the audit trail.
 
-Duplicates must be recognised for ever, so the memory of the stream is the
-audit table itself, not a watermarked state store.  Each micro-batch owns one
-folder of the table and overwrites it, so a batch that is run again after a
+Duplicates must be recognised for ever, so the memory of the stream is a table,
+not a watermarked state store: narrow rows beside the trail, in folders by batch
+and by hash of their key.  A batch reads the buckets of its own keys and nothing
+else, however long the trail has grown.  Each micro-batch owns one folder of
+either table and overwrites it, so a batch that is run again after a
 failure leaves the same rows.  One writer per table.
 """
 
@@ -31,15 +33,54 @@ from tallyweave.sources.audit import audit_events
 NOTHING_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def _events_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Audit events of the earlier batches."""
-    try:
-        events = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in NOTHING_YET:
-            raise
-        return spark.createDataFrame([], T.StructType([*AUDIT_EVENT.fields, T.StructField("batch_id", T.IntegerType())]))
-    return events.filter(F.col("batch_id") < batch_id)
+#: What a batch needs to know of earlier events.
+REMEMBERED = [*INVOICE_KEY, "audit_event_id", "event_timestamp", "run_id", "reconciliation_status"]
+
+
+class Memory:
+    """Some columns of the rows a stream has written, in folders by batch and bucket of a key."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str, key: str, columns: list[str], buckets: int = 64):
+        # Readers of the table pass over folders that begin with an underscore.
+        self.spark, self.path, self.table = spark, path, f"{path}/_{name}"
+        self.key, self.columns, self.buckets = key, columns, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def before(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
+        """Rows of earlier batches in the buckets of this one's keys; nothing if no batch was written."""
+        wanted = [r[0] for r in batch.select(self.bucket()).distinct().collect()]
+        rows = self._read(self.table)
+        if rows is None:
+            # A table that an earlier version wrote has no memory yet.
+            written = self._read(self.path)
+            if written is None:
+                return None
+            self._write(written, self.table, ["batch_id", "bucket"])
+            rows = self._read(self.table)
+        return rows.where((F.col("batch_id") < batch_id) & F.col("bucket").isin(wanted)).select(*self.columns)
+
+    def keep(self, batch: DataFrame, batch_id: int) -> None:
+        self._write(batch, f"{self.table}/batch_id={batch_id}", ["bucket"])
+
+    def _write(self, rows: DataFrame, path: str, folders: list[str]) -> None:
+        kept = rows.withColumn("bucket", self.bucket())
+        kept = kept.select(*dict.fromkeys([*self.columns, *folders]))
+        kept.repartition("bucket").write.mode("overwrite").partitionBy(*folders).parquet(path)
+
+    def _read(self, path: str) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() not in NOTHING_YET:
+                raise
+            return None
+
+
+def trail_memory(spark: SparkSession, path: str) -> Memory:
+    """What a trail remembers of its invoices."""
+    return Memory(spark, path, "memory", "invoice_id", REMEMBERED)
 
 
 def settle_batch(
@@ -57,17 +98,17 @@ def settle_batch(
     deliver a submission again.
     """
     spark = batch.sparkSession
-    earlier = _events_before(spark, path, batch_id)
     fresh = batch.dropDuplicates(["submission_id"])
     results = cut_lineage(decide(fresh, ledger))
-    seen = results.select(*INVOICE_KEY).distinct()
-    relevant = earlier.join(
-        seen.select("invoice_id").distinct(), "invoice_id", "left_semi"
-    )
+    memory = trail_memory(spark, path)
+    relevant = memory.before(results, batch_id)
+    if relevant is None:
+        relevant = spark.createDataFrame([], T.StructType([AUDIT_EVENT[c] for c in REMEMBERED]))
     known = flag_known_invoices(results, relevant)
     flagged = flag_later_copies(known, run_id=run_id, event_time=event_time)
     events = audit_events(draft_letters(investigate(flagged)), run_id, event_time)
-    new = events.join(relevant.select("audit_event_id"), "audit_event_id", "left_anti")
+    new = cut_lineage(events.join(relevant.select("audit_event_id"), "audit_event_id", "left_anti"))
+    memory.keep(new, batch_id)
     (
         new.withColumn("event_date", F.to_date("event_timestamp"))
         .write.mode("overwrite")
@@ -108,13 +149,12 @@ def append_once(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([id_col])
-        try:
-            known = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select(id_col)
-            fresh = fresh.join(known, id_col, "left_anti")
-        except AnalysisException as error:
-            if error.getCondition() not in NOTHING_YET:
-                raise
+        fresh = cut_lineage(batch.dropDuplicates([id_col]))
+        memory = Memory(spark, path, "ids", id_col, [id_col])
+        known = memory.before(fresh, batch_id)
+        if known is not None:
+            fresh = cut_lineage(fresh.join(known, id_col, "left_anti"))
+        memory.keep(fresh, batch_id)
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
