@@ -505,7 +505,9 @@ class Scorer:
     def logs(self, states: np.ndarray, classes: np.ndarray, spots: np.ndarray) -> np.ndarray:
         p, v = self.p, self.v
         out = np.einsum("ij,ij->i", states, self.class_columns[classes]) + p["class_b"][classes]
-        out -= self.log_sums(states @ p["class_w"] + p["class_b"])
+        # In blocks that stay in the cache.
+        for a in range(0, len(states), 4096):
+            out[a : a + 4096] -= self.log_sums(states[a : a + 4096] @ p["class_w"] + p["class_b"])
         heads = np.flatnonzero(spots >= 0)
         heads = heads[np.argsort(classes[heads], kind="stable")]
         starts = np.searchsorted(classes[heads], np.arange(v.head_classes + 1))
