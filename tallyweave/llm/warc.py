@@ -26,6 +26,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs
@@ -91,8 +92,10 @@ def _header(*fields: tuple[str, Column]) -> Column:
     return F.concat(F.lit(f"{VERSION}\r\n"), *[F.coalesce(x, F.lit("")) for x in lines], F.lit("\r\n"))
 
 
-def write_archives(records: DataFrame, folder: str, key: str, uri: str, payload: str) -> None:
-    """Writes records with their roles as gzip files of one stream each.
+def write_archives(
+    records: DataFrame, folder: str, key: str, uri: str, payload: str, date: str | None = None
+) -> None:
+    """Writes records with their roles as gzip files of one stream each, dated ``date`` (UTC; by default now).
 
     Spark's own text writer does it, with the end of a record as the line
     separator, so its committer takes care of lost and repeated tasks.
@@ -101,6 +104,7 @@ def write_archives(records: DataFrame, folder: str, key: str, uri: str, payload:
     header = _header(
         ("WARC-Type", F.col("_type")),
         ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col(key).cast("string"), F.lit("none")), F.lit(">"))),
+        ("WARC-Date", F.lit(date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))),
         ("WARC-Target-URI", F.col(uri)),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_digest"))),
         ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("_refers_to").cast("string"), F.lit(">"))),
@@ -118,12 +122,15 @@ def write_archives(records: DataFrame, folder: str, key: str, uri: str, payload:
 
 
 class Inflated(io.RawIOBase):
-    """The contents of a gzip file of any number of members, inflated as they are read."""
+    """The contents of a gzip file of any number of members, inflated as they are read.
+
+    A file that ends inside a member, be it in its trailer, is an error: it has been cut short.
+    """
 
     def __init__(self, source, chunk: int = 1 << 20):
         self.source, self.chunk = source, chunk
         self.inflater = zlib.decompressobj(31)
-        self.waiting = b""
+        self.waiting, self.inside = b"", False
 
     def readable(self) -> bool:
         return True
@@ -132,15 +139,18 @@ class Inflated(io.RawIOBase):
         while True:
             if self.inflater.eof:
                 self.waiting = self.inflater.unused_data
-                self.inflater = zlib.decompressobj(31)
+                self.inflater, self.inside = zlib.decompressobj(31), False
             data = self.waiting or self.source.read(self.chunk)
-            if not data:
+            if not data and not self.inside:
                 return 0
+            self.inside = True
             out = self.inflater.decompress(data, len(into))
             self.waiting = self.inflater.unconsumed_tail
             if out:
                 into[: len(out)] = out
                 return len(out)
+            if not data and not self.inflater.eof:
+                raise EOFError("the file ends inside a gzip member")
 
 
 def records_of(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
