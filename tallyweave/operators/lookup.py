@@ -16,9 +16,8 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     rows of a common key on the left are then shared out among tasks.  A small
     ``right`` is still broadcast, by its size.
     """
-    guard = F.xxhash64(*keys).alias("_guard")
-    return (
-        left.select("*", guard)
-        .join(right.select("*", guard), [*keys, "_guard"], how)
-        .drop("_guard")
-    )
+    name = "_guard"
+    while name in left.columns or name in right.columns:
+        name += "_"
+    guard = F.xxhash64(*keys).alias(name)
+    return left.select("*", guard).join(right.select("*", guard), [*keys, name], how).drop(name)
