@@ -83,9 +83,9 @@ class Vocabulary:
 
     def fragments(self, symbols: list[str]) -> list[tuple[str, ...]]:
         """A word's symbols, the last one marked, cut where no token can lie across."""
-        symbols = [*symbols[:-1], symbols[-1] + self.mark]
+        symbols[-1] += self.mark
         joined = self.joined
-        cuts = [k for k, pair in enumerate(zip(symbols, symbols[1:], strict=False), 1) if pair not in joined]
+        cuts = [k for k, pair in enumerate(zip(symbols, symbols[1:]), 1) if pair not in joined]  # noqa: B905
         if not cuts:
             return [tuple(symbols)]
         return [tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True)]
@@ -93,7 +93,7 @@ class Vocabulary:
     def merge_few(self, symbols: tuple[str, ...]) -> list[str]:
         """As ``merge``, by looking through all pairs each time: quicker for short fragments."""
         part, rank, none = list(symbols), self.ranks.get, len(self.ranks)
-        ranks = [rank(pair, none) for pair in zip(part, part[1:], strict=False)]
+        ranks = [rank(pair, none) for pair in zip(part, part[1:])]  # noqa: B905
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
             part[i : i + 2] = [part[i] + part[i + 1]]
@@ -163,7 +163,8 @@ class Codec:
         self.vocabulary = vocabulary
         self.pieces = Memory(self.piece, most)
         self.shows = Memory(self.shown_piece, most)
-        self.fragments = Memory(vocabulary.merge, most // 4)
+        # Fragments recur more than pieces do: the cuts make rare words of common parts.
+        self.fragments = Memory(vocabulary.merge, 2 * most)
         self.blanks = regex.compile(BLANK)
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
