@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -58,7 +58,9 @@ class Vocabulary:
         self.words = regex.compile(split["pattern"]["Regex"])
         # Normalising and the classes of letters beyond ASCII follow the library's own tables of characters.
         self.rules = Tokenizer.from_file(path)
-        self.symbols = byte_symbols()
+        symbols = byte_symbols()
+        #: Characters of one byte in Latin-1, as the symbols of their bytes in UTF-8.
+        self.spelling = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(256)}
         self.size = max(self.tokens, default=-1) + 1
         self.joined = self.joinable()
 
@@ -74,21 +76,36 @@ class Vocabulary:
         made = {a + b for a, b in self.ranks}
         return {pair for token in made for s in [self.spelled(token)] for pair in zip(s, s[1:], strict=False)}
 
-    def spelled_words(self, piece: str) -> list[list[str]]:
-        """The words of a piece without white space, each as symbols of its bytes."""
+    def spelled_words(self, piece: str) -> list[str]:
+        """The words of a piece without white space, each as symbols of its bytes.
+
+        Latin-1 has no characters that compose, and its letters and cases are the same everywhere.
+        """
         if piece.isascii():
-            return [list(map(self.symbols.__getitem__, w.encode("ascii"))) for w in self.words.findall(piece.lower())]
+            words = self.words.findall(piece.lower())
+            # What can be printed stands for itself.
+            return words if piece.isprintable() else [w.translate(self.spelling) for w in words]
+        if max(piece) < "\u0100":
+            return [w.translate(self.spelling) for w in self.words.findall(piece.lower())]
         plain = self.rules.normalizer.normalize_str(piece)
-        return [list(w) for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(plain)]
+        return [w for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(plain)]
 
-    def fragments(self, symbols: list[str]) -> list[tuple[str, ...]]:
-        """A word's symbols, the last one marked, cut where no token can lie across."""
-        symbols[-1] += self.mark
+    def fragments(self, word: str) -> list[str]:
+        """A word's symbols cut where no token can lie across; a blank, which is no symbol, marks the word's end."""
         joined = self.joined
-        cuts = [k for k, pair in enumerate(zip(symbols, symbols[1:]), 1) if pair not in joined]  # noqa: B905
+        cuts = [k for k, pair in enumerate(zip(word, word[1:-1]), 1) if pair not in joined]  # noqa: B905
+        if len(word) > 1 and (word[-2], word[-1] + self.mark) not in joined:
+            cuts.append(len(word) - 1)
+        word += " "
         if not cuts:
-            return [tuple(symbols)]
-        return [tuple(symbols[a:b]) for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True)]
+            return [word]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+    def merge_fragment(self, fragment: str) -> list[int]:
+        """Ids of a fragment as ``fragments`` writes it."""
+        if fragment.endswith(" "):
+            return self.merge((*fragment[:-2], fragment[-2] + self.mark))
+        return self.merge(tuple(fragment))
 
     def merge_few(self, symbols: tuple[str, ...]) -> list[str]:
         """As ``merge``, by looking through all pairs each time: quicker for short fragments."""
@@ -156,31 +173,47 @@ class Memory(dict):
         return value
 
 
+def joined(shown: Iterable[tuple[str, str]]) -> tuple[str, str]:
+    """Shown parts, one after the other; a part without ids leaves no blank."""
+    kept = [x for x in shown if x[0]]
+    return " ".join([x[0] for x in kept]), " ".join([x[1] for x in kept])
+
+
 class Codec:
-    """Encodes and decodes texts; remembers the ids of fragments and of pieces between blanks."""
+    """Encodes and decodes texts; remembers the ids of fragments, of words and of pieces between blanks."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
         self.vocabulary = vocabulary
         self.pieces = Memory(self.piece, most)
+        self.words = Memory(self.word, most)
+        # Pieces and words as they are shown; only one of both kinds is ever filled by a query.
         self.shows = Memory(self.shown_piece, most)
+        self.shown_words = Memory(self.shown_word, most)
         # Fragments recur more than pieces do: the cuts make rare words of common parts.
-        self.fragments = Memory(vocabulary.merge, 2 * most)
+        self.fragments = Memory(vocabulary.merge_fragment, 2 * most)
         self.blanks = regex.compile(BLANK)
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word in symbols."""
+        return tuple(chain.from_iterable(map(self.fragments.__getitem__, self.vocabulary.fragments(word))))
+
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a piece without white space; normalising and finding words never look across a blank."""
-        ids: list[int] = []
-        for word in self.vocabulary.spelled_words(piece):
-            for symbols in self.vocabulary.fragments(word):
-                ids += self.fragments[symbols]
-        return tuple(ids)
+        return tuple(chain.from_iterable(map(self.words.__getitem__, self.vocabulary.spelled_words(piece))))
+
+    def shown_word(self, word: str) -> tuple[str, str]:
+        """The ids of a word in decimal, and what they decode to."""
+        ids = self.word(word)
+        return " ".join(map(str, ids)), self.decode(ids)
 
-    def shown_piece(self, piece: str) -> tuple[int, str, str]:
-        """Number of ids of a piece, the ids in decimal, and what they decode to."""
-        ids = self.piece(piece)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def shown_piece(self, piece: str) -> tuple[str, str]:
+        """The ids of a piece in decimal, and what they decode to."""
+        words = self.vocabulary.spelled_words(piece)
+        if len(words) == 1:
+            return self.shown_words[words[0]]
+        return joined(map(self.shown_words.__getitem__, words))
 
     def cut(self, text: str) -> list[str]:
         """Pieces between white space."""
@@ -200,18 +233,16 @@ class Codec:
     def shown(self, text: str | None) -> tuple[int, str, str]:
         """As ``encode`` and ``decode``: number of ids, the ids in decimal joined by blanks, and the decoded text.
 
-        Pieces are remembered as they are shown, so a text is three joins over its pieces.
+        Pieces are remembered as they are shown, so a text is two joins over its pieces.
         """
-        found: list[tuple[int, str, str]] = []
+        found: list[tuple[str, str]] = []
         for part in self.parts(text or ""):
             if part in self.vocabulary.special:
-                found.append((1, str(self.vocabulary.special[part]), part))
+                found.append((str(self.vocabulary.special[part]), part))
             else:
                 found += map(self.shows.__getitem__, self.cut(part))
-        if not found:
-            return 0, "", ""
-        counts, ids, decoded = zip(*found, strict=True)
-        return sum(counts), " ".join(filter(None, ids)), " ".join(filter(None, decoded))
+        ids, decoded = joined(found)
+        return ids.count(" ") + 1 if ids else 0, ids, decoded
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; special tokens are taken where they stand."""
