@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweave.llm.licenses import HINT, RULES, SENTENCES, rule_pattern
+from tallyweave.llm.licenses import CLAUSE_END, HINT, HOLDER, HOLDER_PLAIN, RULES, SENTENCE_END, SENTENCES, rule_pattern
 
 #: A to Z in lower case only, and the words of texts and items.
 _ITEM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -125,14 +125,18 @@ def _licenses() -> str:
     return rf"""
 WITH known(s, id) AS (VALUES {known}),
 t AS (SELECT doc_id, row_number() OVER () AS r, lower(text) AS x FROM documents),
-u AS (
-  SELECT r, unnest(list_transform(string_split(regexp_replace(regexp_replace(x,
-    '[.!?:;]+[ \t\r]*\n|[.!?:;]+[ \t\r]+|\n', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), lambda l: trim(l))) AS s,
-    generate_subscripts(string_split(regexp_replace(regexp_replace(x,
-    '[.!?:;]+[ \t\r]*\n|[.!?:;]+[ \t\r]+|\n', chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), 1) AS k
+y AS (
+  SELECT r, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, {_quoted(SENTENCE_END)}, chr(12), 'g'),
+    {_quoted(CLAUSE_END)}, chr(10), 'g'), '[^a-z0-9\n\f]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), {_quoted(HOLDER)}, '{HOLDER_PLAIN}', 'g'), chr(12)) AS b
   FROM t WHERE x IS NOT NULL),
+b AS (SELECT r, unnest(b) AS b, generate_subscripts(b, 1) AS k FROM y),
+w AS (SELECT b.*, trim(translate(b, chr(10), ' ')) AS s, trim(translate(b, chr(10), ' ')) IN (SELECT s FROM known) AS whole FROM b),
+u AS (
+  SELECT r, k, 0 AS j, s FROM w WHERE whole UNION ALL
+  SELECT r, k, j, trim(s) AS s FROM (
+    SELECT r, k, generate_subscripts(string_split(b, chr(10)), 1) AS j, unnest(string_split(b, chr(10))) AS s FROM w WHERE NOT whole)),
 g AS (
-  SELECT r, list(id ORDER BY k) FILTER (WHERE id IS NOT NULL) AS ids,
+  SELECT r, list(id ORDER BY k, j) FILTER (WHERE id IS NOT NULL) AS ids,
     count(*) FILTER (WHERE id IS NULL AND contains(u.s, '{HINT}')) AS odd
   FROM u LEFT JOIN known USING (s) GROUP BY r),
 s0 AS (

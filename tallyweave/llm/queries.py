@@ -25,7 +25,7 @@ from tallyweave.llm import (
     toxicity,
     warc,
 )
-from tallyweave.llm.common import held_out, read, scratch
+from tallyweave.llm.common import held_out, read, scratch, stored
 from tallyweave.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,8 +187,9 @@ def op9_toxicity(spark, folder):
 
 @query
 def op10_quality(spark, folder):
-    """The ledger of all documents under the current policy."""
-    entries = quality.judge(quality.ledger(read(spark, folder, "documents"), ["doc_id"]))
+    """The stored ledger of all documents under the current policy."""
+    ledger = stored(quality.ledger(read(spark, folder, "documents"), ["doc_id"]), "quality-ledger")
+    entries = quality.judge(ledger)
     base = F.col("failed").bitwiseAND(F.lit(quality.BASE)) != 0
     return entries.select(
         "doc_id",

@@ -243,7 +243,7 @@ def test_licenses_by_sentence_order(spark):
     texts = ["Text.\nReleased under the MIT License.", "Licensed under the Apache License, Version 2.0.\nYou may obtain a copy of the License at\nhttp", None, "", "Some other license here.", gpl,
              "This work is licensed under the GNU General Public License, version 3. More."]
     rows = licenses.recognise(documents(spark, texts), ["doc_id"]).orderBy("doc_id").collect()
-    assert [r["licenses"] for r in rows] == [["MIT"], ["Apache-2.0"], [], [], [], [], ["GPL-3.0-only"]]
+    assert [r["licenses"] for r in rows] == [["MIT"], ["Apache-2.0"], [], [], [], ["GPL-3.0-or-later"], ["GPL-3.0-only"]]
     assert rows[4]["n_unknown"] == 1 and rows[2]["n_unknown"] == 0
 
 
