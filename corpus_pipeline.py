@@ -44,7 +44,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard of 0.8 or more): the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Texts linked by their SimHash fingerprints are candidates, each link confirmed by a five-word Jaccard
+    of 0.8 or more; copies that the fingerprints leave apart are found by shared shingles.
+    """
     tune(spark)
     return near_copies.one_of_each(docs).select(*docs.columns)
 

@@ -12,7 +12,9 @@ The order puts shingles that are common in a bounded sample of the texts last,
 the others by hash.  That decides how many candidates there are, never what is
 found.  A candidate is dropped unchecked only if bounds rule it out: the sizes,
 the places in the order, and the parities of both sets over 512 buckets, which
-differ in at most as many buckets as the sets differ in shingles.  Candidates come in two rounds: first each text with the smallest text it
+differ in at most as many buckets as the sets differ in shingles.  Candidates come in two rounds: first the
+texts that the SimHash operator links (``simhash``: 3 or fewer differing bits of
+fingerprints of three-word shingles), and each text with the smallest text it
 meets under a shingle, which joins most of a family of copies with one pair for
 each; then, under each shingle, the pairs whose texts are not joined yet.
 
@@ -33,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm import simhash
 from tallyweave.llm.common import SPACES, stored
 from tallyweave.llm.graph import components
 from tallyweave.operators.lookup import lookup
@@ -185,6 +188,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def sketched(texts: DataFrame) -> DataFrame:
+    """(a, b): enough pairs to join all texts that SimHash joins, by equal fingerprints and by those of few differing bits.
+
+    Each fingerprint stands for its smallest node, so a family of one fingerprint has one pair for each text.
+    """
+    prints = stored(simhash.fingerprints(texts, ["node"]), "fingerprints")
+    hubs = stored(prints.groupBy("fp").agg(F.min("node").alias("hub")), "distinct")
+    equal = lookup(prints, hubs, ["fp"], "inner").where(F.col("node") != F.col("hub"))
+    across = simhash.links(hubs)
+    for end in ("a", "b"):
+        of = hubs.select(F.col("fp").alias(end), F.col("hub").alias(f"hub_{end}"))
+        across = lookup(across, of, [end], "inner")
+    pairs = equal.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionByName(
+        across.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b"))
+    )
+    return pairs.where("a <> b").distinct()
+
+
 def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     """(a, b): enough pairs of near copies among the (node, text) of ``texts`` to join all of them."""
     posted = stored(postings(texts, shingle), "postings")
@@ -197,7 +218,9 @@ def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     first = lookup(shared, hubs, ["token"], "inner").where(
         (F.col("node") != F.col("hub.node")) & _can_be("", "hub.")
     )
-    tried = stored(first.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    hubbed = first.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    # Both are confirmed in one pass; of SimHash's pairs those without a shared shingle in their prefixes cannot be alike.
+    tried = stored(sketched(texts).unionByName(hubbed).distinct(), "pairs")
     found = stored(confirmed(tried, near, shingle), "links")
 
     roots = components(found)

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 
-from tallyweave.llm import near_copies
+from tallyweave.llm import near_copies, simhash
 from tests.llm.test_operators import ODD, documents, prose
 
 
@@ -86,3 +86,26 @@ def test_prefixes_of_near_copies_meet():
                 assert not near_copies.alike(a, b[1:])
             differ = np.bitwise_count((near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64)).sum()
             assert differ <= len(a) - len(b)
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """The stage asks the SimHash operator, whose links join all texts within 3 bits, and checks each link."""
+    texts = sorted({t for t in copies() if t and t.strip()})
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    found = {tuple(r) for r in near_copies.sketched(rows).collect()}
+    close = {(i, j) for j, q in enumerate(prints) for i, p in enumerate(prints[:j]) if (p ^ q).bit_count() <= 3}
+
+    def joined(pairs):
+        label = list(range(len(texts)))
+        for a, b in sorted(pairs) * 8:
+            label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert found and joined(found) == joined(close)
+
+    asked = []
+    linked = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *given: asked.append(given) or linked(*given))
+    assert corpus_pipeline.dedup_stage(spark, documents(spark, texts), "").count() < len(texts)
+    assert len(asked) == 1
