@@ -1,7 +1,9 @@
 """Exact nearest neighbours by inner product, tile by tile.
 
-Queries and pool are cut into blocks of bounded size by a hash; every pair of
-blocks is one tile, a matrix product that hands on the best ``k`` per query.
+Queries and pool are cut into blocks by a hash; every pair of blocks is one
+tile, worked off in matrix products of bounded size that keep the best ``k``
+per query.  A side has at most ``SIDE`` blocks as long as these fit a task's
+memory, so rows are handed to a fixed number of tiles, however many there are.
 Nothing is assumed of the vectors, so any lengths are fine.  Copies of a vector
 are folded into one row beforehand: a vector that makes up much of the table
 costs as much as any other.  The work is queries times pool, as an exact answer
@@ -19,6 +21,11 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators.lookup import lookup
 
+#: Blocks of a side, as long as a block has room for its share of the rows.
+SIDE = 8
+#: Fewest rows worth a block, and rows of a tile that are multiplied at once.
+FEW, ROWS, COLUMNS = 2048, 256, 8192
+
 
 def _name(vector: Column | str) -> Column:
     """A 128-bit name of a vector, to join on instead of the vector."""
@@ -47,6 +54,43 @@ def _fold(df: DataFrame, id_col: str, vec_col: str, keep: int) -> DataFrame:
     )
 
 
+def _top(left: np.ndarray, right: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, product) of the ``wanted`` largest products of every left row, the smaller column first.
+
+    Once a row has that many, only larger products of later columns are looked at.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
+    sound = np.isfinite(left).all() and np.isfinite(right).all()
+    for at in range(0, len(left), ROWS):
+        some = -left[at : at + ROWS]
+        row, column, distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least, start, stop = np.full(len(some), np.inf), 0, max(wanted, FEW) if sound else len(right)
+        while start < len(right):
+            far = some @ right[start:stop].T
+            if not sound:
+                order = np.argsort(far, axis=1, kind="stable")[:, :wanted]
+                row = np.repeat(np.arange(len(some)), order.shape[1])
+                column, distance = order.ravel(), np.take_along_axis(far, order, axis=1).ravel()
+                break
+            if start == 0 and far.shape[1] > wanted:
+                near = far <= np.partition(far, wanted - 1, axis=1)[:, wanted - 1 :][:, :1]
+            else:
+                near = far < least[:, None]
+            r, c = np.nonzero(near)
+            row, column = np.r_[row, r], np.r_[column, c + start]
+            distance = np.r_[distance, far[r, c]]
+            order = np.lexsort((column, distance, row))
+            row, column, distance = row[order], column[order], distance[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            kept = place < wanted
+            row, column, distance, place = row[kept], column[kept], distance[kept], place[kept]
+            last = place == wanted - 1
+            least[row[last]] = distance[last]
+            start, stop = stop, stop + COLUMNS
+        found.append((row + at, column, -distance))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _tiles(df: DataFrame, blocks: int, others: int, own: str, other: str) -> DataFrame:
     """Each row in the tiles of its own block with all blocks of the other side."""
     across = F.sequence(F.lit(0), F.lit(others - 1))
@@ -55,6 +99,10 @@ def _tiles(df: DataFrame, blocks: int, others: int, own: str, other: str) -> Dat
     )
 
 
+def _blocks(rows: int, most: int) -> int:
+    return max(1, math.ceil(rows / min(most, max(FEW, math.ceil(rows / SIDE)))))
+
+
 def nearest_neighbours(
     queries: DataFrame,
     pool: DataFrame,
@@ -63,13 +111,13 @@ def nearest_neighbours(
     pool_id: str = "vec_id",
     vector: str = "embedding",
     exclude_self: bool = False,
-    block_rows: int = 2048,
+    block_rows: int = 131_072,
 ) -> DataFrame:
     """The ``k`` pool rows of highest inner product for every query row.
 
     Returns ``query_id, rank, neighbour_id, score``; ranked by the raw score,
     equal scores by id; the score shown has four decimals.  ``exclude_self``
-    drops a query's own id from its answer.
+    drops a query's own id from its answer.  ``block_rows`` is the most rows a block has room for.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -78,8 +126,8 @@ def nearest_neighbours(
     size = pool.count()
     if size == 0:
         raise ValueError("the pool is empty")
-    pool_blocks = math.ceil(size / block_rows)
-    query_blocks = max(1, math.ceil(queries.count() / block_rows))
+    pool_blocks = _blocks(size, block_rows)
+    query_blocks = _blocks(queries.count(), block_rows)
     distinct = queries.select(_sound(vector).alias("vec")).distinct().withColumn("q", _name("vec"))
     left = _tiles(distinct, query_blocks, pool_blocks, "qb", "pb")
     right = _tiles(_fold(pool, pool_id, vector, wanted), pool_blocks, query_blocks, "pb", "qb")
@@ -88,14 +136,9 @@ def nearest_neighbours(
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "score": [], "ids": []})
         right = right.assign(first=[ids[0] for ids in right["ids"]]).sort_values("first")
-        scores = _matrix(left["vec"]) @ _matrix(right["vec"]).T
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :wanted]
+        row, column, score = _top(_matrix(left["vec"]), _matrix(right["vec"]), wanted)
         return pd.DataFrame(
-            {
-                "q": np.repeat(left["q"].to_numpy(), order.shape[1]),
-                "score": np.take_along_axis(scores, order, axis=1).ravel(),
-                "ids": right["ids"].to_numpy()[order.ravel()],
-            }
+            {"q": left["q"].to_numpy()[row], "score": score, "ids": right["ids"].to_numpy()[column]}
         )
 
     found = (

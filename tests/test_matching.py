@@ -290,6 +290,29 @@ def test_nearest_neighbours_are_exact(spark, block_rows, unit):
     assert [r[3] for r in rows] == pytest.approx([w[3] for w in want], abs=1.01e-4)
 
 
+def test_rows_go_to_few_tiles_however_many_there_are():
+    """Blocks grow with the table as long as a task has room for them; small tables are one block."""
+    assert [nearest._blocks(n, 131_072) for n in (0, 1, 2048, 2049, 16_384, 720_000, 1_048_576)] == [1, 1, 1, 2, 8, 8, 8]
+    assert nearest._blocks(2_000_000, 131_072) == 16
+
+
+@pytest.mark.parametrize("kind", ["scattered", "ties", "not finite"])
+def test_best_products_of_a_tile(kind):
+    rng = np.random.default_rng(4)
+    left, right = rng.normal(size=(300, 4)), rng.normal(size=(25_000, 4))
+    if kind != "scattered":
+        left, right = np.sign(left), np.sign(right)
+    if kind == "not finite":
+        left[3, 0] = np.nan
+    for pool in (right, right[:3]):
+        scores = left @ pool.T
+        want = np.argsort(-scores, axis=1, kind="stable")[:, :4]
+        row, column, score = nearest._top(left, pool, 4)
+        assert row.tolist() == np.repeat(np.arange(300), want.shape[1]).tolist()
+        assert column.tolist() == want.ravel().tolist()
+        np.testing.assert_allclose(score, np.take_along_axis(scores, want, axis=1).ravel(), rtol=1e-12)
+
+
 def test_neighbours_reject_bad_vectors(spark):
     good = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     for bad in (None, [1.0, None], [1.0, 0.0, 0.0]):
