@@ -365,3 +365,28 @@ def test_hot_vendor_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_pages_hold_each_field_once_and_features_are_shuffled_by_name(spark):
+    """A vendor of one page and one of several are searched alike; rows without features find nothing."""
+    names = ["V1"] * 40 + ["V2"] * 2
+    book = ledger(spark, *[record(invoice_id=f"INV-{k}", vendor=v) for k, v in enumerate(names)])
+    pool, pages = candidates.pool_pages(book, page_rows=4)
+    assert {r["vendor"]: r["pages"] for r in pages.collect()} == {"V1": 10, "V2": 1}
+    fields = pool.schema["pool"].dataType.elementType.names
+    assert sorted(fields) == sorted([*candidates.POOL_ORDER, "vendor", "copies"])
+    subs = submissions(spark, record(invoice_id="INV-7", vendor="V1"), record(invoice_id="INV-41", vendor="V2"))
+    found = candidates.search(subs, book, top_k=2, page_rows=4)
+    shown = {
+        r["vendor"]: [(c["rank"], c["ledger_record"]["invoice_id"], c["norm_id"]) for c in r["candidates"]]
+        for r in found.collect()
+    }
+    assert shown["V1"][0][:2] == (1, "INV-7") and shown["V2"][0][:2] == (1, "INV-41")
+    assert [c[0] for c in shown["V1"]] == [c[0] for c in shown["V2"]] == [1, 2]
+    assert len({type(c[2]) for v in shown.values() for c in v}) == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and not any(
+        "_features" in line for line in plan.splitlines() if "Join LeftOuter" in line or "Window" in line
+    )
+    none = candidates.search(subs, book, 2, lambda prefix: F.lit(None).cast("array<bigint>"))
+    assert [r["candidates"] for r in none.collect()] == [None, None]
