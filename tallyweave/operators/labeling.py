@@ -33,7 +33,7 @@ def _resembles(words: pd.Series, name: pd.Series, least: pd.Series) -> pd.Series
     def one(values, entity, bound):
         if values is None:
             return None
-        return [v is not None and partial_similarity(v, entity) >= bound for v in values]
+        return [v is not None and partial_similarity(v, entity, bound) >= bound for v in values]
 
     return pd.Series([one(w, n, b) for w, n, b in zip(words, name, least)], dtype=object)
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyweave.functions import dates, money, text
+from tallyweave.functions import dates, fuzzy, money, text
 from tallyweave.functions.fuzzy import partial_similarity
 from tallyweave.operators import extraction
 
@@ -138,6 +138,22 @@ def test_partial_similarity_is_exact(a, b):
     assert partial_similarity(a, b) == pytest.approx(slow_similarity(a, b))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc d", max_size=9), st.text("abc d", max_size=14), st.sampled_from([30.0, 45.0, 75.0, 86.0]))
+def test_partial_similarity_is_exact_from_the_least_on(a, b, least):
+    got, want = partial_similarity(a, b, least), slow_similarity(a, b)
+    assert got == pytest.approx(want) if want >= least else got < least
+
+
+def test_hopeless_pieces_are_not_compared(monkeypatch):
+    """Most pieces of a line cannot reach the likeness that is asked for."""
+    compared = []
+    common = fuzzy._common_subsequence
+    monkeypatch.setattr(fuzzy, "_common_subsequence", lambda *x: compared.append(x) or common(*x))
+    assert partial_similarity("cu5t0mer 000012345", "customer 000012345", 86.0) == pytest.approx(200 * 16 / 36)
+    assert len(compared) <= 10
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abcdef ", min_size=4, max_size=9), st.text("abcdef ", min_size=1, max_size=14))
 def test_character_bound_never_loses_a_match(word, name):
@@ -149,3 +165,11 @@ def test_character_bound_never_loses_a_match(word, name):
     t = 0.86
     if lacking > len(short) * (1 - t / (2 - t)) + 1e-9:
         assert slow_similarity(word, name) < 86
+
+
+@pytest.mark.parametrize("text", ["", "1.2", "1.23", "RM 1,234.50", "12/03.45x", "a1,00", "1 .00", "99999.9 9", "EUR1.000,1", "1.234", "٣.٤٥", "-7,5,25"])
+def test_money_is_found_by_its_last_digits(spark, text):
+    from tests.helpers import evaluate as results
+
+    both = results(spark, text, *[lambda c, p=p: c.rlike(p) for p in (money.MONEY_PATTERN, money.HAS_MONEY_PATTERN)])
+    assert both[0] == both[1]
