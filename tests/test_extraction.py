@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallyweave import schemas as S
@@ -165,3 +166,17 @@ def test_fallback_only_for_three_fields(spark):
 
 def test_record_helper_is_complete():
     assert len(record()) == len(S.RECORD_FIELDS)
+
+
+@pytest.mark.parametrize(
+    "read", [extraction.detect_currency, extraction.norm_currency, extraction.extract_invoice_id]
+)
+def test_a_text_is_put_in_upper_case_once(spark, read):
+    """As often as it is written in the plan it would be done for each row."""
+    df = spark.createDataFrame([("x",)], "v string").select(read(F.col("v")).alias("out"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_a_line_is_normalised_once_to_find_the_end_of_items(spark):
+    df = spark.createDataFrame([(["x"],)], "v array<string>").select(extraction.extract_quantity(F.col("v")).alias("out"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 2
