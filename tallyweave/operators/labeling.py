@@ -6,7 +6,12 @@ decoding need no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +22,7 @@ from tallyweave.functions.dates import parse_date
 from tallyweave.functions.fuzzy import partial_similarity
 from tallyweave.functions.money import norm_numeric
 from tallyweave.functions.text import norm_alnum
+from tallyweave.operators.runs import runs, starts
 
 
 def check_samples(samples: DataFrame) -> DataFrame:
@@ -253,14 +259,87 @@ def first_subtokens(subtokens: DataFrame, words: DataFrame) -> DataFrame:
     """Word labels from subtoken labels: the first subtoken of a word speaks.
 
     ``words`` lists ``doc_id, word``; words without a subtoken get O and 0.
+    Neighbouring rows of a document are shuffled as one; any order is right.
     """
-    first = F.min_by(F.struct("label", "score"), "tok")
-    spoken = subtokens.groupBy("doc_id", "word").agg(first.alias("said"))
-    return words.join(spoken, ["doc_id", "word"], "left").select(
+    keys, parts = ["doc_id", "_block"], ["word", "tok", "label", "score"]
+    block = F.floor(F.col("word") / BLOCK).alias("_block")
+    kind = words.schema["word"].dataType
+    # NULLs are equal to no word and come before no subtoken.
+    pieces = subtokens.dropna(subset=["doc_id", "word", "tok"]).select(
         "doc_id",
-        "word",
-        F.coalesce("said.label", F.lit("O")).alias("label"),
-        F.coalesce("said.score", F.lit(0.0)).alias("score"),
+        block,
+        F.col("word").cast(kind).alias("word"),
+        "tok",
+        F.col("label").cast("string").alias("label"),
+        F.col("score").cast("double").alias("score"),
+    )
+    spoken = runs(pieces, keys, parts, first=(["doc_id", "word"], "tok"))
+    absent = [F.lit(None).cast(spoken.schema[c].dataType).alias(c) for c in parts[1:]]
+    asked = runs(words.select("doc_id", block, "word"), keys, ["word"]).select(*keys, "word", *absent)
+    # Words of no document meet nothing, so they need not lie in one task.
+    apart = F.when(F.col("doc_id").isNull() | F.col("_block").isNull(), F.xxhash64("word")).alias("_apart")
+    met = asked.union(spoken).select("*", apart)
+    fields = [T.StructField("doc_id", met.schema["doc_id"].dataType), T.StructField("word", kind)]
+    schema = T.StructType([*fields, T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())])
+    place = [*keys, "_apart"]
+    return met.repartition(*place).sortWithinPartitions(*place).mapInArrow(_speak, schema)
+
+
+#: Words of a document that are looked up together.
+BLOCK = 4096
+
+
+def _speak(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers runs of words, sorted by document and block, from the runs of subtokens beside them."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            if held is not None:
+                part = pa.concat_batches([held, part])
+            # The last block may go on.
+            last = int(starts(part, ["doc_id", "_block", "_apart"])[-1])
+            held = part.slice(last)
+            if last:
+                yield _answers(part.slice(0, last))
+    if held is not None:
+        yield _answers(held)
+
+
+def _answers(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The words of whole blocks, with label and score of their first subtokens."""
+    group = np.zeros(rows.num_rows, np.int64)
+    group[starts(rows, ["doc_id", "_block", "_apart"])] = 1
+    group = group.cumsum()
+    silent = rows.column("tok").is_null()
+
+    def opened(side: pa.Array) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+        """The side's rows; of each word its row, key and whether it is one."""
+        own = rows.filter(side)
+        word = own.column("word").flatten()
+        row = np.repeat(np.arange(own.num_rows), own.column("word").value_lengths().to_numpy())
+        number = pc.fill_null(word, 0).to_numpy(zero_copy_only=False)
+        key = group[side.to_numpy(zero_copy_only=False)][row] * BLOCK + number % BLOCK
+        return own, row, key, word.is_valid().to_numpy(zero_copy_only=False)
+
+    spoken, _, said, _ = opened(pc.invert(silent))
+    asked, row, key, is_word = opened(silent)
+    order = np.lexsort((spoken.column("tok").flatten().to_numpy(zero_copy_only=False), said))
+    known, first = np.unique(said[order], return_index=True)
+    at = np.searchsorted(known, key)
+    hit = is_word & (at < len(known))
+    hit[hit] = known[at[hit]] == key[hit]
+    found = np.zeros(len(key), np.int64)
+    found[hit] = order[first[at[hit]]]
+    found = pa.array(found, mask=~hit)
+    return pa.RecordBatch.from_arrays(
+        [
+            asked.column("doc_id").take(pa.array(row)),
+            asked.column("word").flatten(),
+            pc.fill_null(spoken.column("label").flatten().take(found), "O"),
+            pc.fill_null(spoken.column("score").flatten().take(found), 0.0),
+        ],
+        names=["doc_id", "word", "label", "score"],
     )
 
 
