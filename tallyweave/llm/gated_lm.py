@@ -216,39 +216,78 @@ def start_parameters(v: Vocabulary, s: Settings) -> dict[str, np.ndarray]:
     return {k: p.astype(np.float32) for k, p in params.items()}
 
 
+def by_gate(table: np.ndarray) -> np.ndarray:
+    """Rows of three gates as three tables without gaps, which are quicker to go through; times -1 and,
+    for the new content, -2, as ``gated`` wants them."""
+    out = np.ascontiguousarray(np.moveaxis(table.reshape(len(table), 3, -1), 1, 0))
+    out *= np.array([-1, -1, -2], table.dtype)[:, None, None]
+    return out
+
+
 def step(p: dict[str, np.ndarray], h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, tuple]:
     """One token: the state after it, and what the way back needs."""
-    return gated(p, h, p["inputs"][rows])
-
-
-def gated(p: dict[str, np.ndarray], h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """As ``step``, from input rows (overwritten)."""
-    units = h.shape[1]
-    u = h @ p["units"]
-    gates = x[:, : 2 * units]
-    gates += u[:, : 2 * units]
-    # The logistic function by way of tanh, which is quicker.
-    gates *= 0.5
-    np.tanh(gates, out=gates)
+    return gated(by_gate(p["units"]), h, by_gate(p["inputs"][rows]))
+
+
+@np.errstate(over="ignore")
+def gated(units: np.ndarray, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """As ``step``, from tables by gate; ``x``, the input rows, is overwritten.
+
+    The logistic function and tanh by way of exp, which is quicker; where it overflows they are at their limits.
+    """
+    u = np.matmul(h, units)
+    gates, n = x[:2], x[2]
+    gates += u[:2]
+    np.exp(gates, out=gates)
     gates += 1
-    gates *= 0.5
-    r, z = gates[:, :units], gates[:, units:]
-    n = x[:, 2 * units :]
-    n += r * u[:, 2 * units :]
-    np.tanh(n, out=n)
-    return n + z * (h - n), (h, u[:, 2 * units :], r, z, n)
+    np.reciprocal(gates, out=gates)
+    u = u[2]
+    n += gates[0] * u
+    np.exp(n, out=n)
+    n += 1
+    np.divide(2, n, out=n)
+    n -= 1
+    after = h - n
+    after *= gates[1]
+    after += n
+    return after, (u, gates[0], gates[1], n)
+
+
+def log_sums(states: np.ndarray, w: np.ndarray, b: np.ndarray, safe: bool, rows: int = 1024) -> np.ndarray:
+    """log of the sum of exp of each row of outputs, some rows at a time, which stay in the cache."""
+    out, weight = np.empty(len(states), states.dtype), np.exp(b) if safe else np.ones_like(b)
+    for a in range(0, len(states), rows):
+        logits = states[a : a + rows] @ w
+        if not safe:
+            logits += b
+            top = logits.max(axis=1)
+            logits -= top[:, None]
+        np.exp(logits, out=logits)
+        out[a : a + rows] = np.log(logits @ weight)
+        if not safe:
+            out[a : a + rows] += top
+    return out
+
 
+def softmax_back(
+    states: np.ndarray, columns: np.ndarray, b: np.ndarray, at: np.ndarray, safe: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the states, of the columns and of ``b`` by -log of the share of column ``at``.
 
-def softmax(logits: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(natural log of the share of column ``at``, all shares) of each row; overwrites ``logits``."""
-    rows = np.arange(len(logits))
+    The share of a column is exp(states @ column) * weight / total: weights and totals are
+    multiplied in where arrays are small.
+    """
+    e, weight = states @ columns.T, np.exp(b) if safe else np.ones_like(b)
     if not safe:
-        logits -= logits.max(axis=1, keepdims=True)
-    own = logits[rows, at]
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], logits.dtype)
-    logits /= total[:, None]
-    return own - np.log(total), logits
+        e += b
+        e -= e.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
+    total = e @ weight
+    e.reshape(-1)[np.arange(0, e.size, len(b)) + at] -= total / weight[at]
+    share = 1 / total
+    back = e @ (columns * weight[:, None])
+    back *= share[:, None]
+    return back, (e.T @ (states * share[:, None])) * weight[:, None], (share @ e) * weight
 
 
 def safe_output(p: dict) -> bool:
@@ -257,135 +296,170 @@ def safe_output(p: dict) -> bool:
     return max((np.abs(w).sum(0) + np.abs(b)).max() for w, b in pairs) < 80
 
 
-def output_logs(p: dict, v: Vocabulary, states: np.ndarray, classes: np.ndarray, spots: np.ndarray,
-                grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log of class and head-word probability of each token; with ``grads``, adds to
-    them and also returns the gradient of the states."""
-    rows, safe = np.arange(len(states)), safe_output(p)
-    logs, d = softmax(states @ p["class_w"] + p["class_b"], classes, safe)
-    out = logs.astype(np.float64)
-    back = None
-    if grads is not None:
-        d[rows, classes] -= 1
-        grads["class_w"] += states.T @ d
-        grads["class_b"] += d.sum(0)
-        back = d @ p["class_w"].T
+def output_logs(
+    p: dict, v: Vocabulary, states: np.ndarray, classes: np.ndarray, spots: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log of the class and, within it, of the head word of each token, together and of the class alone."""
+    safe = safe_output(p)
+    alone = np.einsum("ij,ij->i", states, np.ascontiguousarray(p["class_w"].T)[classes]) + p["class_b"][classes]
+    alone -= log_sums(states, p["class_w"], p["class_b"], safe)
+    order, starts = by_head_class(v, classes, spots)
+    order = order[: starts[-1]]
+    inside, at = states[order], spots[order]
+    word = np.einsum("ij,ij->i", inside, np.ascontiguousarray(p["word_w"].T)[at]) + p["word_b"][at]
+    for k in np.flatnonzero(np.diff(starts)).tolist():
+        own, columns = slice(starts[k], starts[k + 1]), slice(v.bounds[k], v.bounds[k + 1])
+        word[own] -= log_sums(inside[own], p["word_w"][:, columns], p["word_b"][columns], safe)
+    out = alone.copy()
+    out[order] += word
+    return out, alone
+
+
+def output_back(
+    p: dict, v: Vocabulary, states: np.ndarray, classes: np.ndarray, spots: np.ndarray, grads: dict
+) -> np.ndarray:
+    """Gradient of the states by -log of the probability of each token; adds those of the outputs to ``grads``."""
+    safe = safe_output(p)
+    back, w, b = softmax_back(states, np.ascontiguousarray(p["class_w"].T), p["class_b"], classes, safe)
+    grads["class_w"] += w.T
+    grads["class_b"] += b
+    order, starts = by_head_class(v, classes, spots)
+    order = order[: starts[-1]]
+    inside, at = states[order], spots[order]
+    behind, columns = np.empty_like(inside), np.ascontiguousarray(p["word_w"].T)
+    found = np.zeros_like(columns)
+    for k in np.flatnonzero(np.diff(starts)).tolist():
+        own, words = slice(starts[k], starts[k + 1]), slice(v.bounds[k], v.bounds[k + 1])
+        behind[own], found[words], b = softmax_back(
+            inside[own], columns[words], p["word_b"][words], at[own] - v.bounds[k], safe
+        )
+        grads["word_b"][words] += b
+    grads["word_w"] += found.T
+    back[order] += behind
+    return back
+
+
+def by_head_class(v: Vocabulary, classes: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens by the class of their head word, those of the tail last; where each class starts, and the tail."""
     head = np.where(spots >= 0, classes, v.head_classes)
-    order = np.argsort(head, kind="stable")
-    starts = np.searchsorted(head[order], np.arange(v.head_classes + 1))
-    inside, places = states[order], spots[order]
-    behind = np.zeros_like(inside)
-    for k in range(v.head_classes):
-        own = slice(starts[k], starts[k + 1])
-        if starts[k] == starts[k + 1]:
-            continue
-        a, b = v.bounds[k], v.bounds[k + 1]
-        at = places[own] - a
-        logs, d = softmax(inside[own] @ p["word_w"][:, a:b] + p["word_b"][a:b], at, safe)
-        out[order[own]] += logs
-        if grads is not None:
-            d[np.arange(len(at)), at] -= 1
-            grads["word_w"][:, a:b] += inside[own].T @ d
-            grads["word_b"][a:b] += d.sum(0)
-            behind[own] = d @ p["word_w"][:, a:b].T
-    if grads is not None:
-        back[order] += behind
-    return out, back
+    order = np.argsort(short(head), kind="stable")
+    return order, np.searchsorted(head[order], np.arange(v.head_classes + 1))
+
+
+def short(places: np.ndarray) -> np.ndarray:
+    """As 16 bits, if they fit, which are sorted much quicker."""
+    return places.astype(np.int16) if len(places) and places.max() < 2**15 else places
 
 
 class Trainer:
     """Adam over windows of truncated backpropagation, for a fixed number of lanes."""
 
     def __init__(self, params: dict, v: Vocabulary, s: Settings, rate: float):
-        self.p = {k: x.copy() for k, x in params.items()}
         self.v, self.s, self.rate, self.t = v, s, rate, 0
-        self.m = {k: np.zeros_like(x) for k, x in self.p.items()}
-        self.n = {k: np.zeros_like(x) for k, x in self.p.items()}
-        self.tokens = 0
-        self.grads, self.waiting = {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+        # All parameters in one array, of which ``p`` and ``grads`` show parts by name.
+        self.all = np.concatenate([x.ravel() for x in params.values()]) if params else np.zeros(0, np.float32)
+        self.g, self.m, self.n = (np.zeros_like(self.all) for _ in range(3))
+        self.p, self.grads = shown(self.all, params), shown(self.g, params)
+        self.tokens = self.waiting = 0
 
     def learn(self, texts: Iterator[np.ndarray]) -> None:
         """All windows of all texts, given as places in the vocabulary, or -1 - tail class.
 
         A lane takes the next stretch of a text when its own has ended; until its window is over it idles.
         """
-        texts = (ids[a : a + self.s.stretch] for ids in texts for a in range(0, len(ids), self.s.stretch))
-        held: list[list] = []
-        h = np.zeros((0, self.s.units), np.float32)
+        s = self.s
+        texts = (ids[a : a + s.stretch] for ids in texts for a in range(0, len(ids), s.stretch))
+        held, h = np.zeros((s.lanes, s.stretch), np.int64), np.zeros((s.lanes, s.units), np.float32)
+        at, ends = np.zeros((2, s.lanes), int)
         while True:
-            going = np.array([k for k, (ids, at) in enumerate(held) if at < len(ids)], int)
-            held, h = [held[k] for k in going], h[going]
-            new = [[ids, 0] for ids in islice(texts, self.s.lanes - len(held))]
-            held += new
-            if not held:
+            for k, ids in zip(np.flatnonzero(at >= ends).tolist(), texts):  # noqa: B905
+                held[k, : len(ids)], at[k], ends[k], h[k] = ids, 0, len(ids), 0
+            own = np.flatnonzero(at < ends)
+            if not len(own):
                 self.update()
                 return
-            h = np.concatenate([h, np.zeros((len(new), self.s.units), np.float32)])
-            parts = [ids[at : at + self.s.window] for ids, at in held]
-            lengths = np.array(list(map(len, parts)))
-            block = np.zeros((lengths.max(), len(parts)), np.int64)
-            for k, x in enumerate(parts):
-                block[: len(x), k] = x
-                held[k][1] += len(x)
-            live = np.arange(len(block))[:, None] < lengths[None, :]
-            h = self.window(h, *places_of(self.v, block), live)
+            lengths = np.minimum(ends[own] - at[own], s.window)
+            steps = np.arange(lengths.max())[:, None]
+            live = steps < lengths
+            block = held[own, np.where(live, at[own] + steps, 0)]
+            h[own] = self.window(h[own], *places_of(self.v, block), live)
+            at[own] += lengths
             self.tokens += int(lengths.sum())
 
     def window(self, h, rows, classes, spots, live):
         p, units, grads = self.p, self.s.units, self.grads
-        x, states, kept = p["inputs"][rows], np.empty((*rows.shape, self.s.units), h.dtype), []
+        w = by_gate(p["units"])
+        x = np.take(by_gate(p["inputs"]), rows, axis=1)
+        states, u = np.empty((2, *rows.shape, units), h.dtype)
         for t in range(len(rows)):
             states[t] = h
-            h, memory = gated(p, h, x[t])
-            kept.append(memory)
+            h, (u[t], *_) = gated(w, h, x[:, t])
+        r, z, n = x
         flat, use, full = states.reshape(-1, units), live.ravel(), live.all(axis=1)
-        ahead = np.zeros_like(flat)
-        _, ahead[use] = output_logs(p, self.v, flat[use], classes.ravel()[use], spots.ravel()[use], grads)
+        if full.all():
+            ahead = output_back(p, self.v, flat, classes.ravel(), spots.ravel(), grads)
+        else:
+            ahead = np.zeros_like(flat)
+            ahead[use] = output_back(p, self.v, flat[use], classes.ravel()[use], spots.ravel()[use], grads)
         ahead = ahead.reshape(states.shape)
-        dx, du = np.empty((2, *rows.shape, 3 * units), h.dtype)
-        dh, turned = np.zeros_like(h), np.ascontiguousarray(p["units"].T)
+        # What the gradient of a state is multiplied with on its way to each gate, for all tokens at once.
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (states - n) * (z * (1 - z))
+        to_r = (-0.5 * u) * (r * (1 - r))
+        dx, dn = np.empty_like(x), np.empty((len(rows), *h.shape), h.dtype)
+        turned = np.ascontiguousarray(np.moveaxis(p["units"].reshape(units, 3, units), 0, 2))
+        dh, du = np.zeros_like(h), np.empty((3, *h.shape), h.dtype)
         for t in range(len(rows) - 1, -1, -1):
-            before, u, r, z, n = kept[t]
             if not full[t]:
                 dh *= live[t][:, None]
-            g, away = dx[t], 1 - z
-            dn = dh * away
-            dn *= 1 - n * n
-            g[:, 2 * units :] = dn
-            away *= z
-            away *= before - n
-            np.multiply(dh, away, out=g[:, units : 2 * units])
-            np.multiply(dn * u, r * (1 - r), out=g[:, :units])
-            du[t] = g
-            du[t, :, 2 * units :] *= r
-            dh = dh * z
-            dh += du[t] @ turned
+            np.multiply(dh, to_n[t], out=dx[2, t])
+            np.multiply(dh, to_z[t], out=dx[1, t])
+            np.multiply(dx[2, t], to_r[t], out=dx[0, t])
+            np.multiply(dx[2, t], r[t], out=dn[t])
+            du[:2], du[2] = dx[:2, t], dn[t]
+            dh *= z[t]
+            for part in np.matmul(du, turned):
+                dh += part
             dh += ahead[t]
-        grads["units"] += flat.T @ du.reshape(-1, 3 * units)
-        order = np.argsort(rows.ravel(), kind="stable")
+        for k, d in enumerate((dx[0], dx[1], dn)):
+            grads["units"][:, k * units : (k + 1) * units] += flat.T @ d.reshape(-1, units)
+        order = np.argsort(short(rows.ravel()), kind="stable")
         sorted_rows = rows.ravel()[order]
         first = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        grads["inputs"][sorted_rows[first]] += np.add.reduceat(dx.reshape(-1, 3 * units)[order], first)
+        by_row = np.moveaxis(dx, 0, 2).reshape(-1, 3 * units)[order]
+        grads["inputs"][sorted_rows[first]] += np.add.reduceat(by_row, first)
         self.waiting += int(use.sum())
         if self.waiting >= self.s.tokens_a_step:
             self.update()
         return h
 
-    def update(self) -> None:
+    def update(self, many: int = 16_384) -> None:
         """One step of Adam by the mean gradient of the tokens that wait for one."""
         if not self.waiting:
             return
         self.t += 1
         rate = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, g in self.grads.items():
+        # Some parameters at a time, which stay in the cache.
+        for a in range(0, len(self.all), many):
+            p, g, m, n = (x[a : a + many] for x in (self.all, self.g, self.m, self.n))
             g /= self.waiting
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.n[k] += 0.001 * (g * g - self.n[k])
-            self.p[k] -= rate * self.m[k] / (np.sqrt(self.n[k]) + 1e-8)
+            m += 0.1 * (g - m)
+            g *= g
+            n += 0.001 * (g - n)
+            p -= rate * m / (np.sqrt(n) + 1e-8)
             g[:] = 0
         self.waiting = 0
 
 
+def shown(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parts of ``flat`` by name, in the order and shapes of ``like``."""
+    out, at = {}, 0
+    for k, x in like.items():
+        out[k] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    return out
+
+
 def places_of(v: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input rows, classes and head columns; -1 - k stands for a word of tail class k."""
     known = np.maximum(ids, 0)
@@ -488,63 +562,43 @@ def _unpacked(packed: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 class Scorer:
     """log10 of class and head-word probabilities, summed over whole texts."""
 
+    #: Lanes that run together, and tokens whose states wait for their outputs: both stay in the cache.
+    together, waiting = 1024, 8192
+
     def __init__(self, p: dict, v: Vocabulary, s: Settings):
         self.p, self.v, self.s = p, v, s
-        self.class_columns = np.ascontiguousarray(p["class_w"].T)
-        self.word_columns = np.ascontiguousarray(p["word_w"].T)
-        self.safe = safe_output(p)
-
-    def log_sums(self, logits: np.ndarray) -> np.ndarray:
-        """log of the sum of exp of each row; overwrites ``logits``."""
-        top = 0.0 if self.safe else logits.max(axis=1)
-        if not self.safe:
-            logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return np.log(logits @ np.ones(logits.shape[1], np.float32)) + top
+        self.inputs, self.units = by_gate(p["inputs"]), by_gate(p["units"])
 
     def logs(self, states: np.ndarray, classes: np.ndarray, spots: np.ndarray) -> np.ndarray:
-        p, v = self.p, self.v
-        out = np.einsum("ij,ij->i", states, self.class_columns[classes]) + p["class_b"][classes]
-        # In blocks that stay in the cache.
-        for a in range(0, len(states), 4096):
-            out[a : a + 4096] -= self.log_sums(states[a : a + 4096] @ p["class_w"] + p["class_b"])
-        heads = np.flatnonzero(spots >= 0)
-        heads = heads[np.argsort(classes[heads], kind="stable")]
-        starts = np.searchsorted(classes[heads], np.arange(v.head_classes + 1))
-        inside, at = states[heads], spots[heads]
-        word = np.einsum("ij,ij->i", inside, self.word_columns[at]) + p["word_b"][at]
-        for k in range(v.head_classes):
-            own = slice(starts[k], starts[k + 1])
-            if starts[k] < starts[k + 1]:
-                a, b = v.bounds[k], v.bounds[k + 1]
-                word[own] -= self.log_sums(inside[own] @ p["word_w"][:, a:b] + p["word_b"][a:b])
-        out[heads] += word
-        return out
+        return output_logs(self.p, self.v, states, classes, spots)[0]
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Texts run side by side, longest first, so that those still running are
-        always the first lanes; the state goes on from window to window."""
+        always the first lanes; the state goes on from window to window, which
+        are the longer the fewer lanes still run."""
         s, out = self.s, np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-        for a in range(0, len(order), s.score_lanes):
-            lanes = order[a : a + s.score_lanes]
+        side = min(s.score_lanes, self.together)
+        for a in range(0, len(order), side):
+            lanes = order[a : a + side]
             lengths = np.array([len(texts[k]) for k in lanes])
             tables = places_of(self.v, np.concatenate([texts[k] for k in lanes]))
             begin = np.r_[0, lengths.cumsum()[:-1]]
             sums = np.zeros(len(lanes))
             h = np.zeros((len(lanes), s.units), np.float32)
-            for first in range(0, int(lengths[0]), s.window):
+            first = 0
+            while first < lengths[0]:
                 running = int(np.searchsorted(-lengths, -first, side="left"))
-                steps = min(s.window, int(lengths[0]) - first)
+                steps = min(max(s.window, self.waiting // running), int(lengths[0]) - first)
                 place = first + np.arange(steps)[:, None]
                 live = place < lengths[None, :running]
                 at = begin[None, :running] + np.minimum(place, lengths[None, :running] - 1)
-                rows = tables[0][at]
+                x = np.take(self.inputs, tables[0][at], axis=1)
                 states = np.empty((steps, running, s.units), np.float32)
                 h = h[:running]
                 for t in range(steps):
                     states[t] = h
-                    h = gated(self.p, h, self.p["inputs"][rows[t]])[0]
+                    h = gated(self.units, h, x[:, t])[0]
                 states, where = states.reshape(-1, s.units), at.ravel()
                 lane = np.broadcast_to(np.arange(running), live.shape).ravel()
                 if not live.all():
@@ -552,6 +606,7 @@ class Scorer:
                     states, where, lane = states[use], where[use], lane[use]
                 logs = self.logs(states, tables[1][where], tables[2][where])
                 sums[:running] += np.bincount(lane, logs, running)
+                first += steps
             out[lanes] = sums / math.log(10)
         return out
 

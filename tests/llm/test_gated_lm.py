@@ -117,3 +117,60 @@ def test_steps_wait_for_a_fixed_number_of_tokens():
     trainer.learn(iter([np.r_[np.ones(7, int), 0], np.array([2, 0]), np.r_[np.ones(12, int), 0]]))
     # Windows of 6, 8, 4, 4 and 1 tokens, the second lane taking the third text: a step after two of them and one at the end.
     assert trainer.tokens == 23 and trainer.t == 2 and trainer.waiting == 0
+
+
+def test_gradients_of_idle_lanes_and_of_large_outputs_are_those_of_the_score():
+    rng, v = np.random.default_rng(6), small_vocabulary()
+    s = gated_lm.Settings(units=3, window=5)
+    live = np.arange(5)[:, None] < np.array([5, 2, 4])
+    places = gated_lm.places_of(v, rng.integers(-2, 13, (5, 3)))
+    start = gated_lm.start_parameters(v, s)
+    for large in (1, 60):
+        params = {k: x.astype(np.float64) + rng.normal(0, 0.5, x.shape) for k, x in start.items()}
+        params["word_w"] *= large
+        assert gated_lm.safe_output(params) == (large == 1)
+
+        def loss(p):
+            h, out = np.full((3, 3), 0.2), 0.0
+            for rows, classes, spots, on in zip(*places, live, strict=True):
+                out -= gated_lm.output_logs(p, v, h, classes, spots)[0][on].sum()
+                h = gated_lm.step(p, h, rows)[0]
+            return out
+
+        trainer = gated_lm.Trainer(params, v, s, 0.1)
+        trainer.window(np.full((3, 3), 0.2), *places, live)
+        for name, found in trainer.grads.items():
+            for at in np.ndindex(found.shape):
+                up, down = ({**params, name: params[name].copy()} for _ in range(2))
+                up[name][at] += 1e-5
+                down[name][at] -= 1e-5
+                assert abs(found[at] - (loss(up) - loss(down)) / 2e-5) < 1e-5 * large
+
+
+def test_gates_go_through_arrays_without_gaps(monkeypatch):
+    """Rows of three gates side by side, gone through one gate at a time, took most of the time."""
+    v, s, seen, gated = small_vocabulary(), gated_lm.Settings(units=4, window=4), [], gated_lm.gated
+
+    def watched(units, h, x):
+        seen.extend(a.flags.c_contiguous for a in (h, *units, *x))
+        return gated(units, h, x)
+
+    monkeypatch.setattr(gated_lm, "gated", watched)
+    p, texts = gated_lm.start_parameters(v, s), [np.r_[np.ones(k, int), 0] for k in (3, 9, 20)]
+    gated_lm.Trainer(p, v, s, 0.1).learn(iter(texts))
+    gated_lm.Scorer(p, v, s).score(texts)
+    assert seen and all(seen)
+
+
+def test_the_outputs_of_a_long_text_are_worked_out_many_words_at_a_time(monkeypatch):
+    v, s, calls, logs = small_vocabulary(), gated_lm.Settings(units=4), [], gated_lm.Scorer.logs
+
+    def counted(self, states, classes, spots):
+        calls.append(len(states))
+        return logs(self, states, classes, spots)
+
+    monkeypatch.setattr(gated_lm.Scorer, "logs", counted)
+    text = np.r_[np.random.default_rng(1).integers(-2, 13, 20_000), 0]
+    p = gated_lm.start_parameters(v, s)
+    assert np.allclose(gated_lm.Scorer(p, v, s).score([text, text[-30:]]), [slow_score(p, v, text), slow_score(p, v, text[-30:])], rtol=1e-4)
+    assert sum(calls) == len(text) + 30 and len(calls) < 10
