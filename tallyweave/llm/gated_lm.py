@@ -622,6 +622,12 @@ def slices(batch: pa.RecordBatch, s: Settings) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+def _listed(ends: list[int], words: list[bytes], many: list[int], classes: list[int]) -> pa.Array:
+    """Words of all texts one after the other as a list of (word, n, class) of each text."""
+    columns = [pa.array(words, pa.binary()), pa.array(many, pa.int64()), pa.array(classes, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["word", "n", "class"]))
+
+
 SCORED = (
     "row bigint, {id}, n_tokens bigint, n_known bigint, base double, score double, "
     "rare array<struct<word:binary,n:bigint,class:int>>"
@@ -633,7 +639,6 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, params: dict, s: Se
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((v, params))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rare_kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32())]))
     floor = v.total + 0.5 * (v.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -643,7 +648,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, params: dict, s: Se
         scorer = Scorer(params, v, s)
         for batch in batches:
             for part in slices(batch, s):
-                texts, known, base, tails, rare = [], [], [], [], []
+                texts, known, base, tails, rare, many, ends = [], [], [], [], [], [], [0]
                 for text in part.column("text"):
                     words = words_of(text.as_py())
                     ids, missing = ids_of(words, number, v)
@@ -653,7 +658,9 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, params: dict, s: Se
                     base.append(float(base_log[have].sum()))
                     tails.append(float(v.tail_log[have].sum()))
                     some = Counter(words[i] for i in missing)
-                    rare.append([{"word": w, "n": n, "class": v.tail_class(w)} for w, n in some.items()])
+                    rare += some
+                    many += some.values()
+                    ends.append(len(rare))
                 scores = scorer.score(texts) + np.array(tails)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -663,7 +670,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, params: dict, s: Se
                         pa.array(known, pa.int64()),
                         pa.array(base, pa.float64()),
                         pa.array(scores, pa.float64()),
-                        pa.array(rare, rare_kind),
+                        _listed(ends, rare, many, [v.tail_class(w) for w in rare]),
                     ],
                     names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
                 )
