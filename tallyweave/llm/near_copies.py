@@ -27,6 +27,7 @@ rows may repeat; a NULL id comes after all others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -45,6 +46,10 @@ SEED = 42
 LEAST = (4, 5)
 #: Longs that hold the parities of a set.
 LONGS = 8
+#: Most longs of the finer parities of a large set.
+MOST_LONGS = 256
+#: Rounds in which texts meet under shingles.
+ROUNDS = 4
 
 
 def shingles(text: bytes | None, shingle: int = 5) -> np.ndarray:
@@ -79,12 +84,23 @@ def prefix(hashes: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndar
     return hashes[np.argsort(late, kind="stable")[:most]]
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
+def parities(hashes: np.ndarray, longs: int = LONGS) -> np.ndarray:
     """Whether each of the buckets holds an odd number of the hashes, as longs."""
-    odd = np.bincount((hashes % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    odd = np.bincount((hashes % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_longs(n: int) -> int:
+    """How many longs hold the finer parities of a set of this size, twice as many buckets as shingles or more.
+
+    Sets that can be as alike as asked have as many, or one twice as many as the other.
+    """
+    longs = LONGS
+    while 64 * longs < 2 * n and longs < MOST_LONGS:
+        longs *= 2
+    return longs
+
+
 def _common(texts: DataFrame, shingle: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur in several texts of a sample, ascending, and their ranks by frequency."""
     share = min(2**20, int(np.ceil(2**20 * sample / max(texts.count(), 1))))
@@ -103,26 +119,34 @@ def _common(texts: DataFrame, shingle: int, sample: int, most: int) -> tuple[np.
     return values[order], (len(values) - 1 - np.arange(len(values)))[order]
 
 
-def postings(texts: DataFrame, shingle: int = 5, sample: int = 16_384, most: int = 65_536) -> DataFrame:
-    """(token, node, n, at): the prefix of every text; ``n`` is the size of its set, ``at`` the place in the prefix."""
+def sketches(texts: DataFrame, shingle: int = 5, sample: int = 16_384, most: int = 65_536) -> DataFrame:
+    """(node, n, tokens, form, fine): the size of every text's set, its prefix and its parities, a row for each text."""
     shared = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle, sample, most))
+    names = [f"p{k}" for k in range(LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def full(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-            lengths = [len(p) for *_, p in rows]
+        def listed(arrays: tuple[np.ndarray, ...]) -> pa.ListArray:
+            ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+        def full(rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            nodes, sizes, tokens, fine, odd = zip(*rows, strict=True)
+            odd = np.array(odd).reshape(-1, LONGS)
             columns = [
-                np.concatenate([p for *_, p in rows]).view(np.int64),
-                np.repeat(np.array([node for node, *_ in rows], np.int64), lengths),
-                np.repeat(np.array([n for _, n, _ in rows], np.int32), lengths),
-                np.concatenate([np.arange(k, dtype=np.int32) for k in lengths]),
+                pa.array(nodes, pa.int64()),
+                pa.array(sizes, pa.int32()),
+                listed(tokens),
+                listed(fine),
+                *(pa.array(np.ascontiguousarray(odd[:, k])) for k in range(LONGS)),
             ]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "n", "at"])
+            return pa.RecordBatch.from_arrays(columns, names=["node", "n", "tokens", "fine", *names])
 
         rows, size = [], 0
         for batch in batches:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
                 hashes = shingles(text.as_py(), shingle)
-                rows.append((node, len(hashes), prefix(hashes, *shared.value)))
+                fine = parities(hashes, fine_longs(len(hashes)))
+                rows.append((node, len(hashes), prefix(hashes, *shared.value), fine, parities(hashes)))
                 size += len(rows[-1][2])
                 if size > 100_000:
                     yield full(rows)
@@ -130,62 +154,103 @@ def postings(texts: DataFrame, shingle: int = 5, sample: int = 16_384, most: int
         if rows:
             yield full(rows)
 
-    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "token bigint, node bigint, n int, at int"
+    found = texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "node bigint, n int, tokens array<bigint>, fine array<bigint>, " + ", ".join(f"{n} bigint" for n in names)
     )
+    return found.select("node", "n", "tokens", F.struct(*names).alias("form"), "fine")
 
 
-def forms(texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """(node, form): the parities of every text's set."""
-    names = [f"p{k}" for k in range(LONGS)]
+def postings(known: DataFrame) -> DataFrame:
+    """(token, node, n, at): the prefix of every text; ``n`` is the size of its set, ``at`` the place in the prefix."""
+    return known.select("node", "n", F.posexplode("tokens").alias("at", "token")).select("token", "node", "n", "at")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = np.array([parities(shingles(t.as_py(), shingle)) for t in batch.column("text")]).reshape(-1, LONGS)
-            columns = [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(LONGS)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *columns], names=["node", *names])
 
-    found = texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "node bigint, " + ", ".join(f"{n} bigint" for n in names)
-    )
-    return found.select("node", F.struct(*names).alias("form"))
+def meetings(known: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The postings under shingles that several texts are posted under.
 
+    Most shingles are of one text.  They go in rounds by a hash, each shuffled and forgotten before the next, so
+    that all postings never lie on the disks at once.
+    """
+    kept = []
+    for k in range(rounds):
+        posted = postings(known).where(F.pmod(F.xxhash64("token"), F.lit(rounds)) == k)
+        met = posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+        kept.append(stored(lookup(posted, met.select("token"), ["token"], "left_semi"), "shared"))
+    return reduce(DataFrame.unionByName, kept)
 
-def _can_be(one: str, other: str) -> Column:
-    """Whether sets that meet at these places of their order can be as alike as asked.
 
-    ``one`` and ``other`` come before the column names n, at and form.
-    """
+def _places_allow(other: str) -> Column:
+    """Whether sets that meet at these places of their order, n and at, can be as alike as asked."""
     up, down = LEAST
-    (n, at, form), (m, to, shape) = ([F.col(p + c) for c in ("n", "at", "form")] for p in (one, other))
+    n, at, m, to = F.col("n"), F.col("at"), F.col(f"{other}n"), F.col(f"{other}at")
     shared = F.least(at, to) + F.least(n - at, m - to)
+    return shared.cast("bigint") * (up + down) >= (n.cast("bigint") + m) * up
+
+
+def _sets_allow(other: str) -> Column:
+    """Whether sets of these sizes and parities, n and form, can be as alike as asked."""
+    up, down = LEAST
+    n, m, form, shape = F.col("n").cast("bigint"), F.col(f"{other}n"), F.col("form"), F.col(f"{other}form")
     apart = sum((F.bit_count(form[f"p{k}"].bitwiseXOR(shape[f"p{k}"])) for k in range(LONGS)), F.lit(0))
-    total = n.cast("bigint") + m
-    return (shared.cast("bigint") * (up + down) >= total * up) & ((total - apart) * (up + down) >= total * (2 * up))
+    return (F.least(n, m) * down >= F.greatest(n, m) * up) & ((n + m - apart) * (up + down) >= (n + m) * (2 * up))
+
+
+def _finely_allowed(other: str) -> Column:
+    """Whether sets of these sizes and finer parities, n and fine, can be as alike as asked."""
+    up, down = LEAST
+    n, m = F.col("n").cast("bigint"), F.col(f"{other}n")
+    many = F.least(F.size("fine"), F.size(f"{other}fine"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def folded(c: str) -> Column:
+        # The buckets of half as many longs are pairs of these.
+        return F.when(F.size(c) == many, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, many), F.slice(c, many + 1, many), xor))
+
+    odd = F.zip_with(folded("fine"), folded(f"{other}fine"), xor)
+    apart = F.aggregate(odd, F.lit(0), lambda total, x: total + F.bit_count(x))
+    return (n + m - apart) * (up + down) >= (n + m) * (2 * up)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """The (a, b) ``pairs`` of nodes whose whole texts are near copies."""
+def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The (a, b) ``pairs`` that sizes and parities, and then the finer parities, do not rule out."""
+    for name, allowed in (("form", _sets_allow), ("fine", _finely_allowed)):
+        of = known.select("node", "n", name)
+        one = lookup(pairs, of.withColumnRenamed("node", "a"), ["a"], "inner")
+        other = of.select(F.col("node").alias("b"), *[F.col(c).alias(f"other_{c}") for c in ("n", name)])
+        pairs = lookup(one, other, ["b"], "inner").where(allowed("other_")).select("a", "b")
+    return pairs
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = 5, block: int = 256) -> DataFrame:
+    """The (a, b) ``pairs`` of nodes, none twice, whose whole texts are near copies.
+
+    The text of an ``a`` is sent once for each ``block`` of its ``b``, about, and met by theirs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
+        first, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            a, b = (batch.column(k).to_pylist() for k in ("a", "b"))
-            for k, ends in enumerate(zip(a, b, strict=True)):
-                for node, column in zip(ends, ("text_a", "text_b"), strict=True):
-                    if node not in sets:
-                        if len(sets) > 256:
-                            sets = {x: sets[x] for x in ends if x in sets}
-                        sets[node] = shingles(batch.column(column)[k].as_py(), shingle)
-                if alike(sets[ends[0]], sets[ends[1]]):
+            ends = [batch.column(k).to_pylist() for k in ("a", "part", "b")]
+            for k, (a, part, b) in enumerate(zip(*ends, strict=True)):
+                hashes = shingles(batch.column("text")[k].as_py(), shingle)
+                if b == a:
+                    first, own = (a, part), hashes
+                elif first != (a, part):
+                    raise RuntimeError("a text is missing")
+                elif alike(own, hashes):
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    for end in ("a", "b"):
-        of = texts.select(F.col("node").alias(end), F.col("text").cast("binary").alias(f"text_{end}"))
-        pairs = lookup(pairs, of, [end], "inner")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("parts"))
+    placed = lookup(pairs, parts, ["a"], "inner").select(
+        "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b"
+    )
+    ends = placed.unionByName(placed.select("a", "part", F.col("a").alias("b")).distinct())
+    of = texts.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("text"))
+    met = lookup(ends, of, ["b"], "inner").select("a", "part", "b", "text", (F.col("a") != F.col("b")).alias("after"))
+    sent = met.repartition("a", "part").sortWithinPartitions("a", "part", "after")
+    return sent.select("a", "part", "b", "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def sketched(texts: DataFrame) -> DataFrame:
@@ -208,35 +273,33 @@ def sketched(texts: DataFrame) -> DataFrame:
 
 def links(texts: DataFrame, shingle: int = 5) -> DataFrame:
     """(a, b): enough pairs of near copies among the (node, text) of ``texts`` to join all of them."""
-    posted = stored(postings(texts, shingle), "postings")
-    met = posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    places = stored(lookup(posted, met.select("token"), ["token"], "left_semi"), "shared")
-    near = stored(lookup(texts, places.select("node").distinct(), ["node"], "left_semi"), "near")
-    shared = stored(lookup(places, forms(near, shingle), ["node"], "inner"), "formed")
-
-    hubs = shared.groupBy("token").agg(F.min(F.struct("node", "n", "at", "form")).alias("hub"))
-    first = lookup(shared, hubs, ["token"], "inner").where(
-        (F.col("node") != F.col("hub.node")) & _can_be("", "hub.")
-    )
-    hubbed = first.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-    # Both are confirmed in one pass; of SimHash's pairs those without a shared shingle in their prefixes cannot be alike.
-    tried = stored(sketched(texts).unionByName(hubbed).distinct(), "pairs")
-    found = stored(confirmed(tried, near, shingle), "links")
+    known = stored(sketches(texts, shingle), "prefixes")
+    shared = meetings(known)
+
+    hubs = shared.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("hub"))
+    first = lookup(shared, hubs.select("token", *[F.col(f"hub.{c}").alias(f"other_{c}") for c in ("node", "n", "at")]), ["token"], "inner")
+    first = first.where((F.col("node") != F.col("other_node")) & _places_allow("other_"))
+    hubbed = first.select(F.col("other_node").alias("a"), F.col("node").alias("b"))
+    # Both are confirmed in one pass.
+    tried = stored(possible(sketched(texts).unionByName(hubbed).distinct(), known), "pairs")
+    found = stored(confirmed(tried, texts, shingle), "links")
 
     roots = components(found)
     marked = lookup(shared, roots, ["node"]).withColumn("root", F.coalesce("root", "node"))
     sizes = marked.groupBy("token", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("kinds"))
-    apart = stored(lookup(marked, main.where("kinds > 1").drop("kinds"), ["token"], "inner"), "apart")
+    places = lookup(marked, main.where("kinds > 1").drop("kinds"), ["token"], "inner")
+    apart = stored(lookup(places, known.select("node", "form"), ["node"], "inner"), "apart")
     rest = apart.where("root <> main").select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "at", "form")])
     again = lookup(apart, rest, ["token"], "inner").where(
         (F.col("root") != F.col("other_root"))
         & ((F.col("root") == F.col("main")) | (F.col("node") < F.col("other_node")))
-        & _can_be("", "other_")
+        & _places_allow("other_")
+        & _sets_allow("other_")
     )
     pairs = again.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-    left = stored(lookup(pairs, tried, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(confirmed(left, near, shingle))
+    left = stored(possible(lookup(pairs, tried, ["a", "b"], "left_anti"), known), "pairs")
+    return found.unionByName(confirmed(left, texts, shingle))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -250,11 +313,12 @@ def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))).alias("first")
     least = stored(keyed.groupBy(F.col(node).alias("node")).agg(first), "least")
-    chosen = lookup(keyed, least.select(F.col("first.key").alias(key)).distinct(), [key], "left_semi")
+    # Rows of one node have one text.
     texts = stored(
-        chosen.where(F.col(node) != 0).select(F.col(node).alias("node"), "text").dropDuplicates(["node"]), "texts"
+        keyed.where(F.col(node) != 0).select(F.col(node).alias("node"), "text").dropDuplicates(["node"]), "texts"
     )
     roots = components(links(texts, shingle))
     of = lookup(least, roots, ["node"]).groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     stay = of.select(F.col("first.key").alias(key)).distinct()
-    return lookup(keyed, stay, [key], "left_semi").dropDuplicates([key]).drop(key, node)
+    # Unique on both sides by then, so that the rows are not shuffled once more.
+    return keyed.dropDuplicates([key]).join(stay, key, "left_semi").drop(key, node)

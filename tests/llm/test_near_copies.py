@@ -109,3 +109,57 @@ def test_simhash_links_come_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda *given: asked.append(given) or linked(*given))
     assert corpus_pipeline.dedup_stage(spark, documents(spark, texts), "").count() < len(texts)
     assert len(asked) == 1
+
+
+def test_only_possible_pairs_are_confirmed(spark, monkeypatch):
+    """SimHash links texts that are far from alike; sizes and parities rule them out before whole texts are sent."""
+    texts = sorted({t for t in copies() if t and t.strip()})
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    asked, confirmed = [], near_copies.confirmed
+    monkeypatch.setattr(near_copies, "sketched", lambda _: rows.alias("x").crossJoin(rows.alias("y")).selectExpr("x.node AS a", "y.node AS b").where("a < b"))
+    monkeypatch.setattr(near_copies, "confirmed", lambda pairs, *rest: asked.append(pairs) or confirmed(pairs, *rest))
+    found = {tuple(sorted(r)) for r in near_copies.links(rows).collect()}
+    pairs = slow_pairs(texts)
+    assert found == pairs
+    sizes = [len(s) for s in slow_sets(texts)]
+    tried = {tuple(sorted(r)) for part in asked for r in part.collect()}
+    assert pairs <= tried and len(tried) < len(texts) ** 2 // 8
+    assert all(5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b]) for a, b in tried)
+
+
+def test_finer_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 2**64, 30_000, dtype=np.uint64))
+    for n in (1, 255, 256, 257, 300, 2000, 9000):
+        a = np.sort(rng.choice(pool, n, replace=False))
+        b = np.sort(rng.choice(a, -(-4 * n // 5), replace=False))
+        far = np.sort(rng.choice(pool, n, replace=False))
+        rows = [(k, len(x), near_copies.parities(x, near_copies.fine_longs(len(x))).tolist()) for k, x in enumerate((a, b, far))]
+        known = spark.createDataFrame(rows, "node bigint, n int, fine array<bigint>")
+        one, other = known.where("node = 0"), known.selectExpr("node AS b", "n AS other_n", "fine AS other_fine")
+        kept = {r["b"] for r in one.crossJoin(other).where(near_copies._finely_allowed("other_")).collect()}
+        assert kept >= {0, 1}
+        assert 2 not in kept or n == 1
+
+
+def test_meetings_are_the_shared_postings_whatever_the_rounds(spark):
+    texts = sorted({t for t in copies() if t and t.strip()})
+    known = near_copies.sketches(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")).persist()
+    rows = [tuple(r) for r in near_copies.postings(known).collect()]
+    nodes = {}
+    for token, node, *_ in rows:
+        nodes.setdefault(token, set()).add(node)
+    shared = sorted(r for r in rows if len(nodes[r[0]]) > 1)
+    assert shared
+    for rounds in (1, 3):
+        assert sorted(tuple(r) for r in near_copies.meetings(known, rounds).collect()) == shared
+    known.unpersist()
+
+
+def test_a_text_meets_its_copies_block_by_block(spark):
+    texts = sorted({t for t in copies() if t and t.strip()})
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    every = [(a, b) for b in range(len(texts)) for a in range(b)]
+    pairs = spark.createDataFrame(every, "a bigint, b bigint")
+    for block in (1, 7, 256):
+        assert {tuple(r) for r in near_copies.confirmed(pairs, rows, block=block).collect()} == slow_pairs(texts)

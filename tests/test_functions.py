@@ -173,3 +173,9 @@ def test_money_is_found_by_its_last_digits(spark, text):
 
     both = results(spark, text, *[lambda c, p=p: c.rlike(p) for p in (money.MONEY_PATTERN, money.HAS_MONEY_PATTERN)])
     assert both[0] == both[1]
+
+
+def test_shuffled_files_go_with_their_job(spark):
+    from tallyweave.session import tune
+
+    assert tune(spark).conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
