@@ -1,10 +1,12 @@
 import math
 from datetime import date
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.functions import records
 from tallyweave.operators import candidates, duplicates, exceptions, nearest, repair
 from tallyweave.operators.classify import classify
 from tallyweave.plans.evaluate import with_retrieval
@@ -390,3 +392,36 @@ def test_pages_hold_each_field_once_and_features_are_shuffled_by_name(spark):
     )
     none = candidates.search(subs, book, 2, lambda prefix: F.lit(None).cast("array<bigint>"))
     assert [r["candidates"] for r in none.collect()] == [None, None]
+
+
+def test_search_in_tiles_is_exact(spark):
+    """Pages, blocks and rounds of any size give the same candidates: those of a comparison of all pairs."""
+    vendors = ["Hot"] * 60 + ["V1", "V2", None]
+    rows = [record(invoice_id=f"A-{i:02d}", vendor=v, amount=100.0 + i % 7, quantity=i % 5) for i, v in enumerate(vendors)]
+    book = ledger(spark, *rows, rows[3], rows[3])
+    subs = submissions(spark, *[record(invoice_id=f"A-{i % 50:02d}", vendor=v, quantity=i % 3) for i, v in enumerate(vendors)], rows[1], rows[1])
+
+    def found(**sizes):
+        got = candidates.search(subs, book, top_k=4, **sizes).orderBy("submission_id").collect()
+        return [[(c.rank, c.semantic_score, c.ledger_record) for c in r.candidates] if r.candidates else r.candidates for r in got]
+
+    want = found()
+    words = lambda r: set("".join(c if c.isalnum() else " " for c in r.text.lower()).split())
+    texts = lambda df: df.select("*", records.text_of("").alias("text")).collect()
+    for asked, got in zip(sorted(texts(subs), key=lambda r: r.submission_id), want, strict=True):
+        pool = [(words(asked), words(r)) for r in texts(book) if r.vendor is not None and r.vendor == asked.vendor]
+        best = sorted((len(q & r) / (len(q) * len(r)) ** 0.5 for q, r in pool), reverse=True)[:4]
+        assert [c[1] for c in got or []] == [pytest.approx(x, abs=1e-4) for x in best]
+    for sizes in ({"page_rows": 7, "block_rows": 5}, {"page_rows": 1, "round_rows": 30}, {"block_rows": 2, "round_rows": 9}):
+        assert found(**sizes) == want
+
+
+def test_search_keeps_answers_only(spark):
+    """What was asked and the ledger's rows are gone from the shared folder when the answers are stored."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    found = candidates.search(submissions(spark, record()), ledger(spark, record()))
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert left == {"asking", "ranked"}
+    assert [len(r.candidates) for r in found.collect()] == [1]
+    assert "token" not in found._jdf.queryExecution().executedPlan().toString()
