@@ -1,6 +1,7 @@
 """The stream's memory by buckets, identity over the whole ledger, reports of any shape."""
 
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,12 @@ def test_reports_of_several_shapes_and_broken_lines(spark, tmp_path):
         tables.report_field(["$.a", "$.n.a"], "bigint").alias("a"), tables.report_field(["$.s"], "string").alias("s"), "broken"
     ).collect()
     assert sorted(map(tuple, rows), key=str) == sorted([(1, "x", None), (2, None, None), (None, None, "not json"), (None, None, None), (None, None, None)], key=str)
+
+
+def test_a_batch_leaves_nothing_but_the_trail_and_its_memory(spark, tmp_path):
+    folder, path = Path(spark.conf.get("spark.checkpoint.dir")), str(tmp_path / "trail")
+    before = {p for p in folder.rglob("*") if p.is_file()}
+    for k in range(2):
+        settle_batch(submissions(spark, record(), record(invoice_id=f"INV-{k}")), k, ledger(spark, record()), path, f"run-{k}")
+    assert {p for p in folder.rglob("*") if p.is_file()} == before
+    assert spark.read.parquet(path).count() == 4
